@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bytehash import binary, mix, shingle_set, words
-from .common import doc_id_of, join_small, keep, row_key, with_row_key
+from .common import doc_id_of, join_small, keep, row_key, shuffle_partitions, with_row_key
 from .components import connected_components
 
 U = np.uint64
@@ -185,15 +185,19 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     members = keep(texts.mapInArrow(_sets(k), "k1 long, k2 long, n long, node long"), "members")
     nodes = members.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("k1", "k2")).alias("one"))
 
-    index = texts.mapInArrow(_index(k, percent), "sig long, node long, band short, slack int, less boolean")
-    held = keep(index, "index")
+    # rows whose set another row stands for are not indexed
+    again = members.join(nodes.select("node", "one"), "node").where("one.k1 <> k1 or one.k2 <> k2").select("k1", "k2")
+    single = join_small(texts, keep(again, "again"), ["k1", "k2"], "left_anti", 32)
+    index = single.mapInArrow(_index(k, percent), "sig long, node long, band short, slack int, less boolean")
+    # both uses of this one shuffle read all columns, so that Spark plans it once
+    held = index.repartition(shuffle_partitions(docs.sparkSession), "sig")
     shared = (
         held.groupBy("sig")
-        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"))
-        .where("x <> y and not less")
+        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"), F.min("band").alias("band"), F.min("slack").alias("slack"))
+        .where("x <> y and not less and band >= 0 and slack >= 0")
         .select("sig")
     )
-    met = keep(held.join(shared, "sig").distinct(), "met")
+    met = keep(held.join(shared.hint("merge"), "sig").distinct(), "met")
     cost = met.groupBy("sig").agg(F.count("*").alias("cost"))
     segment = W.partitionBy("node", "band")
     chosen = keep(
