@@ -8,10 +8,11 @@ may be linked with.  Two linked sets differ in at most H elements.
 * Small bands (H <= ONE_DELETION_H): m = ceil((H + 1) / 2) segments.  Some segment then
   differs by at most one element, so each segment is indexed whole and with each one
   element left out; a whole segment meets a whole or a shortened one.
-* Other bands: m = H + 1 + slack segments, of which at least m - H are equal.  Ordered
-  by how many sets hold a segment, the H + 1 cheapest segments of two linked sets have
-  one in common.  Those that only one set holds cost nothing, so most texts index
-  nothing at all, and empty or very frequent segments fall to the slack.
+* Other bands: m segments, more than H + 1, of which at least m - H are equal, H now by
+  the pair's own sizes.  Ordered by how many sets hold a segment, the H + 1 cheapest
+  segments of two linked sets have one in common.  Those that only one set holds cost
+  nothing, so most texts index nothing at all, and empty or very frequent segments are
+  left out.  Before sets are fetched, a pair must have m - H segments in common.
 
 Equal sets are one node throughout.  Every candidate is verified with its whole sets.
 Inside a signature's group the member that shares most is compared with all others
@@ -49,7 +50,7 @@ class Scheme:
     """Segments of one size band for similarities of at least percent / 100."""
 
     def __init__(self, band: int, low: int, high: int, percent: int):
-        self.band, self.low = band, low
+        self.band, self.low, self.end = band, low, high
         self.high = (high - 1) * 100 // percent  # the largest set that one of this band may be linked with
         self.differ = (100 - percent) * (high - 1 + self.high) // (100 + percent)
         self.deletion = self.differ <= ONE_DELETION_H
@@ -110,7 +111,8 @@ def _sets(k: int):
 
 
 def _index(k: int, percent: int):
-    """Signatures of each text: node, scheme, need (segments to index; 0: all), less, signature."""
+    """Signatures of each text: node, band, slack (segments to leave out; 0: none), less (an element
+    left out), m (segments of the band), own (whether the set itself is of the band)."""
 
     def run(batches):
         schemes = _schemes(percent)
@@ -123,15 +125,17 @@ def _index(k: int, percent: int):
                     if not len(found):
                         continue
                     name = mix(mix(found).sum(keepdims=True) + U(len(found))).view(np.int64)[0]
-                    for s in schemes(len(found)):
+                    n = len(found)
+                    differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+                    for s in schemes(n):
                         out, less = s.signatures(found)
                         sigs.append(out)
                         count.append((s.m, len(out) - s.m))
-                        meta.append((name, s.band, 0 if s.deletion else s.m - s.differ - 1))
+                        meta.append((name, s.band, 0 if s.deletion else s.m - min(differ, s.differ) - 1, s.m, n >= s.low and n < s.end))
                 if not sigs:
                     continue
                 total = [a + c for a, c in count]
-                name, band, slack = (np.repeat(np.array(x), total) for x in zip(*meta, strict=True))
+                name, band, slack, m, own = (np.repeat(np.array(x), total) for x in zip(*meta, strict=True))
                 less = np.repeat(np.tile([False, True], len(count)), np.array(count).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -140,8 +144,10 @@ def _index(k: int, percent: int):
                         pa.array(band.astype(np.int16)),
                         pa.array(slack.astype(np.int32)),
                         pa.array(less),
+                        pa.array(m.astype(np.int32)),
+                        pa.array(own),
                     ],
-                    ["sig", "node", "band", "slack", "less"],
+                    ["sig", "node", "band", "slack", "less", "m", "own"],
                 )
 
     return run
@@ -188,13 +194,13 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     # rows whose set another row stands for are not indexed
     again = members.join(nodes.select("node", "one"), "node").where("one.k1 <> k1 or one.k2 <> k2").select("k1", "k2")
     single = join_small(texts, keep(again, "again"), ["k1", "k2"], "left_anti", 32)
-    index = single.mapInArrow(_index(k, percent), "sig long, node long, band short, slack int, less boolean")
+    index = single.mapInArrow(_index(k, percent), "sig long, node long, band short, slack int, less boolean, m int, own boolean")
     # both uses of this one shuffle read all columns, so that Spark plans it once
     held = index.repartition(shuffle_partitions(docs.sparkSession), "sig")
     shared = (
         held.groupBy("sig")
-        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"), F.min("band").alias("band"), F.min("slack").alias("slack"))
-        .where("x <> y and not less and band >= 0 and slack >= 0")
+        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"), F.min("band").alias("band"), F.min("slack").alias("slack"), F.min("m").alias("m"), F.bool_or("own").alias("own"))
+        .where("x <> y and not less and band >= 0 and slack >= 0 and m > 0 and own")
         .select("sig")
     )
     met = keep(held.join(shared.hint("merge"), "sig").distinct(), "met")
@@ -205,7 +211,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         .withColumn("rank", F.row_number().over(segment.orderBy("cost", "sig")))
         .withColumn("of", F.count("*").over(segment))
         .where("slack = 0 or rank <= of - slack")
-        .select("sig", "node", "less", "cost"),
+        .select("sig", "node", "band", "slack", "less", "m", "own", "cost"),
         "chosen",
     )
     weight = chosen.groupBy("node").agg(F.sum("cost").alias("weight"))
@@ -220,36 +226,42 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         "sets",
     )
 
+    lists = keep(met.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("sigs")), "lists")
+
     def compare(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "links")
 
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    hub = groups.groupBy("sig").agg(
-        F.max_by(F.struct("node", "n", "less"), F.struct("weight", "node")).alias("hub")
-    )
-    pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    def second_side(df: DataFrame, *more: str) -> DataFrame:
+        names = {"node": "other", **{c: f"{c}2" for c in ("n", "less", "own", *more)}}
+        return df.select("sig", *(F.col(c).alias(t) for c, t in names.items()))
+
+    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (own or own2) and not (less and less2)"
+    # segments two linked sets have in common at least; all that only one set holds are not
+    enough = f"(slack = 0 or size(array_intersect(sigs, sigs2)) >= m - floor({100 - percent} * (n + n2) / {100 + percent}))"
+    a, b = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    hub = groups.groupBy("sig").agg(F.max_by(F.struct("node", "n", "less", "own"), F.struct("weight", "node")).alias("hub")).select("sig", "hub.*")
     first = (
-        groups.join(hub.select("sig", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"), F.col("hub.less").alias("less2")), "sig")
-        .where(f"node <> other and not (less and less2) and {fits}")
-        .select(*pair)
+        groups.join(second_side(hub), "sig")
+        .where(f"node <> other and {fits}")
+        .select("node", "other", "n", "n2", "band", "slack", "m")
+        .distinct()
+        .join(lists, ["node", "band"], "left")
+        .join(lists.select("band", F.col("node").alias("other"), F.col("sigs").alias("sigs2")), ["other", "band"], "left")
+        .where(enough)
+        .select(a, b)
         .distinct()
     )
     links = compare(first)
     label = connected_components(links.where("linked"))
-    placed = keep(
-        groups.join(label, "node", "left").select("sig", "node", "n", "less", F.coalesce("component", "node").alias("component")), "placed"
-    )
+    placed = keep(groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cost", "weight"), "placed")
     split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rest = keep(placed.join(split, "sig"), "rest")
-    other = rest.select(
-        "sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("less").alias("less2"), F.col("component").alias("component2")
-    )
+    rest = keep(placed.join(split, "sig").join(lists, ["node", "band"], "left"), "rest")
     second = (
-        rest.join(other, "sig")
-        .where(f"node < other and component <> component2 and not (less and less2) and {fits}")
-        .select(*pair)
+        rest.join(second_side(rest, "component", "sigs"), "sig")
+        .where(f"node < other and component <> component2 and {fits} and {enough}")
+        .select(a, b)
         .distinct()
         .join(links.select("a", "b"), ["a", "b"], "left_anti")
     )
