@@ -42,3 +42,14 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     check(spark, [], 40)
+
+
+def test_groups_beyond_a_task(spark, monkeypatch):
+    from tremor.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    passage = word(70)
+    rows = [(i, word(r.randint(0, 40)) + passage[: 70 - i % 7] + word(30)) for i in range(30)]
+    check(spark, rows, 40)

@@ -60,15 +60,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes) -> DataFrame:
     """Join a wide table with a narrow one that was written by keep().
 
-    The narrow side is broadcast while its counted rows stay below BROADCAST_BYTES,
-    which spares the texts a shuffle; beyond that both sides are shuffled.
+    The narrow side is broadcast while its measured size, row_bytes (a number or a column)
+    summed over its rows, stays below BROADCAST_BYTES, which spares the texts a shuffle;
+    beyond that both sides are shuffled.
     """
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+    size = small.agg(F.sum(row_bytes if not isinstance(row_bytes, int) else F.lit(row_bytes))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("shuffle_hash") if how == "left_semi" else small, on, how)
+    return big.join(small, on, how)
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:

@@ -13,9 +13,11 @@ reranks all positions at once; names met only once are dropped.
 3. Whole intervals: intervals whose bytes are equal throughout are past the threshold
    together; only one of each kind goes on.
 4. Doubling: for the kinds that share a representative but differ, the positions are
-   compared by the pair of half-length names, which is the threshold.
+   compared by the pair of half-length names, which is the threshold: in the task that
+   gets the representative's kinds sorted together, or, beyond GROUP kinds, by a shuffle
+   of the positions themselves.
 
-Nothing is capped: a group of any size is counted by partial sums.
+Nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import SLICE, Ranges, binary, mix, slices
-from .common import doc_id_of, join_small, keep, with_row_key
+from .common import doc_id_of, join_small, keep, shuffle_partitions, with_row_key
 
 _I = np.int64
+#: A representative with more kinds of intervals is compared by shuffled positions, not in one task.
+GROUP = 20_000
 
 
 def _argmin_windows(value: np.ndarray, w: int) -> np.ndarray:
@@ -89,35 +93,90 @@ def _find(length: int):
     return run
 
 
-def _positions(length: int):
-    """One row for each window start of the given intervals, named by the pair of halves."""
-    half = length // 2
-
-    def rows(found):
-        name, pair, k1, k2, pos, copies = zip(*found, strict=True)
-        n = [len(x) for x in pos]
-        each = [np.repeat(np.array(x, _I), n) for x in (name, k1, k2, copies)]
-        columns = (each[0], np.concatenate(pair).view(_I), each[1], each[2], np.concatenate(pos), each[3])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["name", "pair", "k1", "k2", "pos", "copies"])
+def _contexts(length: int):
+    """One row for each given interval, with all bytes of its windows."""
 
     def run(batches):
         for b in batches:
             data, at = binary(b.column("bytes"))
             k1, k2 = b.column("k1").to_pylist(), b.column("k2").to_pylist()
-            found, held = [], 0
+            out = []
             for n, spans in enumerate(b.column("spans").to_pylist()):
-                text = data[at[n] : at[n + 1]]
-                for s in spans:  # an interval has fewer than `threshold` windows
-                    p = np.arange(s["hi"] - s["lo"] + 1)
-                    r = Ranges(text[s["lo"] : s["hi"] + length])
-                    pair = mix(r.of(p, p + half) + mix(r.of(p + half, p + length)))
-                    found.append((s["name"], pair, k1[n], k2[n], p + s["lo"], s["copies"]))
-                    held += len(p)
-                    if held > 1 << 16:
-                        yield rows(found)
-                        found, held = [], 0
-            if found:
-                yield rows(found)
+                start = int(at[n])
+                out += [(s["name"], s["kinds"], s["copies"], k1[n], k2[n], s["lo"], data[start + s["lo"] : start + s["hi"] + length].tobytes()) for s in spans]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], _CONTEXT)
+
+    return run
+
+
+_CONTEXT = ["name", "kinds", "copies", "k1", "k2", "lo", "context"]
+
+
+def _named(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all window starts of some intervals: the interval, the place in it, and the pair of
+    half-length names, mixed with the representative's name."""
+    half = length // 2
+    data, at = binary(table.column("context"))
+    n = np.diff(at) - length + 1
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    pairs = []
+    for i, j in slices(at):  # an interval has fewer than `length` windows, so no slice is long
+        r = Ranges(data[at[i] : at[j]])
+        mine = slice(int(n[:i].sum()), int(n[:j].sum()))
+        p = at[of[mine]] - at[i] + place[mine]
+        pairs.append(mix(r.of(p, p + half) + mix(r.of(p + half, p + length))))
+    name = table.column("name").to_numpy().view(np.uint64)
+    return of, place, mix(np.concatenate(pairs) + mix(name)[of])
+
+
+def _double(length: int):
+    """Partitions sorted by name: the window starts whose pair of names occurs again in their group."""
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        of, place, pair = _named(table, length)
+        copies = table.column("copies").to_numpy()
+        _, back = np.unique(pair, return_inverse=True)
+        again = (np.bincount(back, copies[of])[back] > 1) & (copies[of] == 1)
+        start = again.copy()
+        start[1:] &= ~(again[:-1] & (of[1:] == of[:-1]))
+        end = again.copy()
+        end[:-1] &= ~(again[1:] & (of[1:] == of[:-1]))
+        s, e = np.flatnonzero(start), np.flatnonzero(end)
+        k1, k2, lo = (table.column(c).to_numpy() for c in ("k1", "k2", "lo"))
+        row = of[s]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], lo[row] + place[s], lo[row] + place[e])], ["k1", "k2", "lo", "hi"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for piece in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
+                name = piece.column("name").to_numpy()
+                cut = int(np.flatnonzero(name == name[-1])[0])  # the last group may go on
+                if held and (cut or held[-1].column("name")[-1].as_py() != name[-1]):
+                    yield found([*held, piece.slice(0, cut)])
+                    held = []
+                elif cut:
+                    yield found([piece.slice(0, cut)])
+                held.append(piece.slice(cut))
+        if held:
+            yield found(held)
+
+    return run
+
+
+def _positions(length: int):
+    """The same, a row for each window start, for groups that do not fit a task."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                table = pa.Table.from_batches([b.slice(i, 1024)])
+                of, place, pair = _named(table, length)
+                k1, k2, lo, copies = (table.column(c).to_numpy()[of] for c in ("k1", "k2", "lo", "copies"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair.view(_I), k1, k2, lo + place, copies)], ["pair", "k1", "k2", "pos", "copies"])
 
     return run
 
@@ -141,7 +200,7 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
     if threshold < 2:
         raise ValueError("threshold must be at least 2")
     texts = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", F.col("text").cast("binary").alias("bytes"))
-    find, positions = _find(threshold), _positions(threshold)
+    find, contexts_of, double, positions = _find(threshold), _contexts(threshold), _double(threshold), _positions(threshold)
     found = keep(
         texts.where(F.length("bytes") >= threshold).mapInArrow(
             lambda b: _regroup(find(b)), "name long, whole long, k1 long, k2 long, lo long, hi long"
@@ -153,24 +212,25 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
     kinds = keep(
         shared.groupBy("name", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")), "kinds"
     )
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name")
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
     settled = shared.join(kinds.where("copies > 1").select("name", "whole"), ["name", "whole"]).select("k1", "k2", "lo", "hi")
+    span = F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "name", "kinds", "copies").alias("span")
     open_ = keep(
-        kinds.join(mixed, "name")
-        .select("one.k1", "one.k2", F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "name", "copies").alias("span"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("span").alias("spans")),
-        "open",
+        kinds.join(mixed, "name").select("one.k1", "one.k2", span).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "open"
     )
-    pairs = keep(
-        join_small(texts, open_, ["k1", "k2"], "inner", 512)
+    contexts = (
+        join_small(texts, open_, ["k1", "k2"], "inner", 64 + 64 * F.size("spans"))
         .select("k1", "k2", "bytes", "spans")
-        .mapInArrow(positions, "name long, pair long, k1 long, k2 long, pos long, copies long"),
-        "positions",
+        .mapInArrow(contexts_of, "name long, kinds long, copies long, k1 long, k2 long, lo long, context binary")
     )
-    met = pairs.groupBy("name", "pair").agg(F.sum("copies").alias("met")).where("met > 1").select("name", "pair")
-    alone = pairs.where("copies = 1").join(met, ["name", "pair"]).select("k1", "k2", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
-    return settled.union(alone)
+    dealt = contexts.repartition(shuffle_partitions(docs.sparkSession), "name")
+    alone = dealt.where(F.col("kinds") <= GROUP).sortWithinPartitions("name").mapInArrow(double, "k1 long, k2 long, lo long, hi long")
+    if not mixed.where(F.col("kinds") > GROUP).limit(1).count():
+        return settled.union(alone)
+    pairs = keep(contexts.where(F.col("kinds") > GROUP).mapInArrow(positions, "pair long, k1 long, k2 long, pos long, copies long"), "positions")
+    met = pairs.groupBy("pair").agg(F.sum("copies").alias("met")).where("met > 1").select("pair")
+    many = pairs.where("copies = 1").join(met, "pair").select("k1", "k2", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
+    return settled.union(alone).union(many)
 
 
 def _cut(length: int):
@@ -213,7 +273,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     texts = with_row_key(docs.select("doc_id", "text")).select(
         "k1", "k2", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")
     )
-    joined = join_small(texts, spans, ["k1", "k2"], "left", 512)
+    joined = join_small(texts, spans, ["k1", "k2"], "left", 64 + 32 * F.size("spans"))
     out = joined.select("k1", "bytes", "spans").mapInArrow(
         _cut(threshold), "k1 long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
