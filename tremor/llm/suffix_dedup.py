@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import SLICE, Ranges, binary, mix, slices
-from .common import doc_id_of, join_small, keep, shuffle_partitions, with_row_key
+from .common import doc_id_of, keep, shuffle_partitions, with_row_key
 
 _I = np.int64
 #: A representative with more kinds of intervals is compared by shuffled positions, not in one task.
@@ -219,7 +219,7 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
         kinds.join(mixed, "name").select("one.k1", "one.k2", span).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "open"
     )
     contexts = (
-        join_small(texts, open_, ["k1", "k2"], "inner", 64 + 64 * F.size("spans"))
+        texts.join(open_.hint("merge"), ["k1", "k2"])  # about every second text has some
         .select("k1", "k2", "bytes", "spans")
         .mapInArrow(contexts_of, "name long, kinds long, copies long, k1 long, k2 long, lo long, context binary")
     )
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     texts = with_row_key(docs.select("doc_id", "text")).select(
         "k1", "k2", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")
     )
-    joined = join_small(texts, spans, ["k1", "k2"], "left", 64 + 32 * F.size("spans"))
+    joined = texts.join(spans.hint("merge"), ["k1", "k2"], "left")
     out = joined.select("k1", "bytes", "spans").mapInArrow(
         _cut(threshold), "k1 long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
