@@ -199,16 +199,14 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     held = index.repartition(shuffle_partitions(docs.sparkSession), "sig")
     shared = (
         held.groupBy("sig")
-        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"), F.min("band").alias("band"), F.min("slack").alias("slack"), F.min("m").alias("m"), F.bool_or("own").alias("own"))
+        .agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("less").alias("less"), F.min("band").alias("band"), F.min("slack").alias("slack"), F.min("m").alias("m"), F.bool_or("own").alias("own"), F.count("*").alias("cost"))
         .where("x <> y and not less and band >= 0 and slack >= 0 and m > 0 and own")
-        .select("sig")
+        .select("sig", "cost")
     )
     met = keep(held.join(shared.hint("merge"), "sig").distinct(), "met")
-    cost = met.groupBy("sig").agg(F.count("*").alias("cost"))
     segment = W.partitionBy("node", "band")
     chosen = keep(
-        met.join(cost, "sig")
-        .withColumn("rank", F.row_number().over(segment.orderBy("cost", "sig")))
+        met.withColumn("rank", F.row_number().over(segment.orderBy("cost", "sig")))
         .withColumn("of", F.count("*").over(segment))
         .where("slack = 0 or rank <= of - slack")
         .select("sig", "node", "band", "slack", "less", "m", "own", "cost"),
@@ -226,7 +224,8 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         "sets",
     )
 
-    lists = keep(met.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("sigs")), "lists")
+    picked = chosen.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("picked"))
+    lists = keep(met.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("sigs")).join(picked, ["node", "band"]), "lists")
 
     def compare(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -247,7 +246,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         .where(f"node <> other and {fits}")
         .select("node", "other", "n", "n2", "band", "slack", "m")
         .distinct()
-        .join(lists, ["node", "band"], "left")
+        .join(lists.drop("picked"), ["node", "band"], "left")
         .join(lists.select("band", F.col("node").alias("other"), F.col("sigs").alias("sigs2")), ["other", "band"], "left")
         .where(enough)
         .select(a, b)
@@ -258,9 +257,10 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     placed = keep(groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cost", "weight"), "placed")
     split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     rest = keep(placed.join(split, "sig").join(lists, ["node", "band"], "left"), "rest")
+    once = "(slack = 0 or sig = array_min(array_intersect(picked, picked2)))"  # where a pair first meets
     second = (
-        rest.join(second_side(rest, "component", "sigs"), "sig")
-        .where(f"node < other and component <> component2 and {fits} and {enough}")
+        rest.join(second_side(rest, "component", "sigs", "picked"), "sig")
+        .where(f"node < other and component <> component2 and {fits} and {once} and {enough}")
         .select(a, b)
         .distinct()
         .join(links.select("a", "b"), ["a", "b"], "left_anti")
