@@ -11,7 +11,7 @@ U = np.uint64
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
 #: Texts are hashed in slices of about so many bytes, whatever the batch size.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
