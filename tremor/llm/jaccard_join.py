@@ -37,6 +37,8 @@ BAND_RATIO = 1.5
 ONE_DELETION_H = 4
 #: Share of further segments, from which the most frequent ones are left out.
 SLACK = 0.3
+#: The cheapest segments of a set that its rows carry, to tell where two sets met before.
+HEAD = 16
 
 
 def _band_edges(most: int) -> list[int]:
@@ -205,15 +207,17 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     )
     met = keep(held.join(shared.hint("merge"), "sig").distinct(), "met")
     segment = W.partitionBy("node", "band")
-    chosen = keep(
-        met.withColumn("rank", F.row_number().over(segment.orderBy("cost", "sig")))
+    picks = "slack = 0 or rank <= of - slack"
+    ranked = keep(
+        met.repartition(shuffle_partitions(docs.sparkSession), "node")  # serves both windows and the join
+        .withColumn("rank", F.row_number().over(segment.orderBy("cost", "sig")))
         .withColumn("of", F.count("*").over(segment))
-        .where("slack = 0 or rank <= of - slack")
-        .select("sig", "node", "band", "slack", "less", "m", "own", "cost"),
-        "chosen",
+        .where("slack = 0 or of > slack")
+        .withColumn("weight", F.sum(F.when(F.expr(picks), F.col("cost"))).over(W.partitionBy("node")))
+        .join(nodes.select("node", "n"), "node"),
+        "ranked",
     )
-    weight = chosen.groupBy("node").agg(F.sum("cost").alias("weight"))
-    groups = keep(chosen.join(weight, "node").join(nodes.select("node", "n"), "node"), "groups")
+    groups = ranked.where(picks).drop("cost")
 
     wanted = keep(groups.select("node").distinct().join(nodes.select("node", "one"), "node").select("node", "one.k1", "one.k2"), "wanted")
     sets = keep(
@@ -224,8 +228,8 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         "sets",
     )
 
-    picked = chosen.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("picked"))
-    lists = keep(met.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("sigs")).join(picked, ["node", "band"]), "lists")
+    large = ranked.where("slack > 0").groupBy("node", "band")
+    lists = keep(large.agg(F.collect_list("sig").alias("sigs"), F.sort_array(F.collect_list(F.when(F.col("rank") <= HEAD, F.struct("rank", "sig"))))["sig"].alias("head")), "lists")
 
     def compare(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -236,35 +240,36 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         names = {"node": "other", **{c: f"{c}2" for c in ("n", "less", "own", *more)}}
         return df.select("sig", *(F.col(c).alias(t) for c, t in names.items()))
 
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (node, other, band, slack, need) that have enough segments in common."""
+        return (
+            pairs.join(lists.select("node", "band", "sigs"), ["node", "band"], "left")
+            .join(lists.select("band", F.col("node").alias("other"), F.col("sigs").alias("sigs2")), ["other", "band"], "left")
+            .where("slack = 0 or size(array_intersect(sigs, sigs2)) >= need")
+            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+            .distinct()
+        )
+
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (own or own2) and not (less and less2)"
     # segments two linked sets have in common at least; all that only one set holds are not
-    enough = f"(slack = 0 or size(array_intersect(sigs, sigs2)) >= m - floor({100 - percent} * (n + n2) / {100 + percent}))"
-    a, b = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    need = f"m - floor({100 - percent} * (n + n2) / {100 + percent})"
+    pair = ["node", "other", "band", "slack", F.expr(need).alias("need")]
     hub = groups.groupBy("sig").agg(F.max_by(F.struct("node", "n", "less", "own"), F.struct("weight", "node")).alias("hub")).select("sig", "hub.*")
-    first = (
-        groups.join(second_side(hub), "sig")
-        .where(f"node <> other and {fits}")
-        .select("node", "other", "n", "n2", "band", "slack", "m")
-        .distinct()
-        .join(lists.drop("picked"), ["node", "band"], "left")
-        .join(lists.select("band", F.col("node").alias("other"), F.col("sigs").alias("sigs2")), ["other", "band"], "left")
-        .where(enough)
-        .select(a, b)
-        .distinct()
-    )
+    first = promising(groups.join(second_side(hub), "sig").where(f"node <> other and {fits}").select(*pair).distinct())
     links = compare(first)
     label = connected_components(links.where("linked"))
-    placed = keep(groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cost", "weight"), "placed")
+    placed = keep(groups.drop("weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rest = keep(placed.join(split, "sig").join(lists, ["node", "band"], "left"), "rest")
-    once = "(slack = 0 or sig = array_min(array_intersect(picked, picked2)))"  # where a pair first meets
-    second = (
-        rest.join(second_side(rest, "component", "sigs", "picked"), "sig")
-        .where(f"node < other and component <> component2 and {fits} and {once} and {enough}")
-        .select(a, b)
+    rest = keep(placed.join(split, "sig").join(lists.select("node", "band", "head"), ["node", "band"], "left"), "rest")
+    # both sets order their segments alike, so what they have in common from their first meeting on is all
+    # they have; later meetings go where a head, of bounded length, shows an earlier one
+    meets = f"1 + least(of - rank, of2 - rank2) >= {need} and not arrays_overlap(slice(head, 1, least(rank - 1, {HEAD})), head2)"
+    second = promising(
+        rest.join(second_side(rest, "component", "rank", "of", "head"), "sig")
+        .where(f"node < other and component <> component2 and {fits} and (slack = 0 or {meets})")
+        .select(*pair)
         .distinct()
-        .join(links.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    ).join(links.select("a", "b"), ["a", "b"], "left_anti")
     return members, links.union(compare(second))
 
 
