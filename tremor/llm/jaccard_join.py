@@ -39,6 +39,9 @@ ONE_DELETION_H = 4
 SLACK = 0.3
 #: The cheapest segments of a set that its rows carry, to tell where two sets met before.
 HEAD = 16
+#: Sets of up to so many shared segments carry 16-bit names of these, which rule out most pairs where they would
+#: be made; those of more meet without and are sorted out by their whole lists.
+SHORT_NAMES = 256
 
 
 def _band_edges(most: int) -> list[int]:
@@ -228,8 +231,11 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         "sets",
     )
 
-    large = ranked.where("slack > 0").groupBy("node", "band")
-    lists = keep(large.agg(F.collect_list("sig").alias("sigs"), F.sort_array(F.collect_list(F.when(F.col("rank") <= HEAD, F.struct("rank", "sig"))))["sig"].alias("head")), "lists")
+    first_ones = F.sort_array(F.collect_list(F.when(F.col("rank") <= HEAD, F.struct("rank", "sig"))))["sig"]
+    short_name = F.when(F.col("of") <= SHORT_NAMES, (F.col("sig").bitwiseAND(65535) - 32768).cast("short"))
+    lists = keep(
+        ranked.where("slack > 0").groupBy("node", "band").agg(F.collect_list("sig").alias("sigs"), first_ones.alias("head"), F.collect_set(short_name).alias("names")), "lists"
+    )
 
     def compare(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -260,13 +266,15 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     label = connected_components(links.where("linked"))
     placed = keep(groups.drop("weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rest = keep(placed.join(split, "sig").join(lists.select("node", "band", "head"), ["node", "band"], "left"), "rest")
+    rest = keep(placed.join(split, "sig").join(lists.select("node", "band", "head", "names"), ["node", "band"], "left"), "rest")
     # both sets order their segments alike, so what they have in common from their first meeting on is all
     # they have; later meetings go where a head, of bounded length, shows an earlier one
     meets = f"1 + least(of - rank, of2 - rank2) >= {need} and not arrays_overlap(slice(head, 1, least(rank - 1, {HEAD})), head2)"
+    # equal segments have equal short names, of which a set has of - size(names) fewer than segments
+    may_share = f"(size(names) = 0 or size(names2) = 0 or size(array_intersect(names, names2)) + of - size(names) >= {need})"
     second = promising(
-        rest.join(second_side(rest, "component", "rank", "of", "head"), "sig")
-        .where(f"node < other and component <> component2 and {fits} and (slack = 0 or {meets})")
+        rest.join(second_side(rest, "component", "rank", "of", "head", "names"), "sig")
+        .where(f"node < other and component <> component2 and {fits} and (slack = 0 or {meets} and {may_share})")
         .select(*pair)
         .distinct()
     ).join(links.select("a", "b"), ["a", "b"], "left_anti")
