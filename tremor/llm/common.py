@@ -60,6 +60,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the Arrow batches that go to Python by bytes; by rows alone, 10,000 long texts are one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes) -> DataFrame:
     """Join a wide table with a narrow one that was written by keep().
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bytehash import binary, mix, shingle_set, words
-from .common import doc_id_of, join_small, keep, row_key, shuffle_partitions, with_row_key
+from .common import doc_id_of, join_small, keep, row_key, shuffle_partitions, small_batches, with_row_key
 from .components import connected_components
 
 U = np.uint64
@@ -192,6 +192,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     """
     if not 50 < percent <= 100 or k < 1:
         raise ValueError("percent must be above 50 and at most 100, k positive")
+    small_batches(docs.sparkSession)
     texts = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", F.col("text").cast("binary").alias("bytes"))
     members = keep(texts.mapInArrow(_sets(k), "k1 long, k2 long, n long, node long"), "members")
     nodes = members.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("k1", "k2")).alias("one"))
