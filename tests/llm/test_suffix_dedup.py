@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
-from tremor.llm.suffix_dedup import remove_repeats
+import numpy as np
+
+from tremor.llm.bytehash import SLICE
+from tremor.llm.suffix_dedup import _argmin_windows, remove_repeats
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -44,12 +47,26 @@ def test_empty_table(spark):
     check(spark, [], 40)
 
 
-def test_groups_beyond_a_task(spark, monkeypatch):
-    from tremor.llm import suffix_dedup
-
-    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+def test_hot_passage(spark):
     r = random.Random(7)
     word = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
-    passage = word(70)
-    rows = [(i, word(r.randint(0, 40)) + passage[: 70 - i % 7] + word(30)) for i in range(30)]
+    passage = word(90)
+    rows = [(i, word(r.randint(0, 40)) + passage[: 90 - i % 47] + word(30)) for i in range(150)]
     check(spark, rows, 40)
+
+
+def test_text_longer_than_a_slice(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefgh \n", k=n))
+    long, part = word(600_000), word(900)
+    assert len(long) > 2 * SLICE
+    cut = SLICE - 500  # a repeat across the border of two slices
+    rows = [(1, long[:cut] + part + long[cut:] + part), (2, word(50) + long[SLICE - 250 : SLICE + 400]), (3, long[500_000:500_399]), (4, part[7:])]
+    check(spark, rows, 400)
+
+
+def test_representatives_follow_the_window_only():
+    value = np.random.default_rng(0).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    value[50:60] = value[50] >> np.uint64(12) << np.uint64(12)
+    value[50:60] += np.arange(10, 0, -1).astype(np.uint64)
+    assert (_argmin_windows(value[:300], 101) == _argmin_windows(value, 101)[:200]).all()

@@ -9,7 +9,8 @@ import pyarrow as pa
 
 U = np.uint64
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
-_BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
+#: Two families of fingerprints; the bases are odd, so they have inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C55, 0xD1B54A32D192ED03)
 #: Texts are hashed in slices of about so many bytes, whatever the batch size.
 SLICE = 1 << 18
 
@@ -21,32 +22,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+_BYTE = [mix(np.arange(1, 257, dtype=U) * U(x)) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_pow = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+_pow = [(np.ones(1, dtype=U), np.ones(1, dtype=U))] * 2
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, SLICE + (1 << 16))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_pow[family][0]) < n:
+        size, found = max(n, SLICE + (1 << 16)), []
+        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
             x = np.full(size, base, dtype=U)
             x[0] = 1
-            _pow[k] = np.cumprod(x)
-    return _pow[0], _pow[1]
+            found.append(np.cumprod(x))
+        _pow[family] = tuple(found)
+    return _pow[family]
 
 
 class Ranges:
     """Fingerprints of any byte ranges of one buffer in constant time each."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, family: int = 0):
         n = len(buf)
-        power, self.inverse = _powers(n + 1)
+        power, self.inverse = _powers(n + 1, family)
         self.sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(_BYTE[buf] * power[:n], out=self.sums[1:])
+        np.cumsum(_BYTE[family][buf] * power[:n], out=self.sums[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + hi.astype(U) - lo.astype(U))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql.window import Window as W
 
 #: A side of a join is broadcast only when rows times row_bytes stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch on its way to Python.
+ARROW_BYTES = "4m"
 
 _NO_ID = -(1 << 63)
 
@@ -18,11 +22,12 @@ _NO_ID = -(1 << 63)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests, local mode) a temporary folder is made
-    and registered as the checkpoint folder.
+    Only a local session may go without that setting (tests): it then gets a folder of its own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("tremor.test.checkpoint", None)
         if not root:
             root = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -30,11 +35,57 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings (underscores for dots) that hold inside the block only."""
+    named = {k.replace("_", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str = "part") -> DataFrame:
-    """Cut lineage: write the rows as Parquet into the shared folder and read them back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write the rows as Parquet into the shared folder and read them back.
+
+    Shuffle files of the write are freed as soon as it ends, and Arrow batches that go to
+    Python meanwhile are bounded by bytes; by rows alone, 10,000 long texts are one batch.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    with settings(
+        spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=ARROW_BYTES
+    ):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote and nothing needs any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent().getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that begin like these and are none of the taken ones, in whatever case."""
+    used, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def row_key() -> dict:
@@ -60,11 +111,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Bound the Arrow batches that go to Python by bytes; by rows alone, 10,000 long texts are one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
-
-
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes) -> DataFrame:
     """Join a wide table with a narrow one that was written by keep().
 
@@ -84,13 +130,14 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     Range partitions are written with their number; each counts its own rows, and one row
     for each partition carries the sum of those before it.
     """
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
-    part = keep(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
-    before = part.groupBy("_part").count().select(
-        "_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    columns = df.columns
+    part, before = fresh([*columns, "rank"], "part", "before")
+    ranged = keep(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn(part, F.spark_partition_id()), "ranged")
+    ahead = ranged.groupBy(part).count().select(
+        part, F.coalesce(F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before)
     )
     return (
-        part.join(F.broadcast(before), "_part")
-        .withColumn("rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before"))
-        .drop("_part", "_before")
+        ranged.join(F.broadcast(ahead), part)  # a row for each partition
+        .withColumn("rank", F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col(before))
+        .select(*columns, "rank")
     )
