@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tremor.llm import ngram_lm
@@ -17,24 +18,29 @@ def tokens(text):
 
 def brute(rows):
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for (_, t), h in zip(rows, held, strict=True):
         if not h:
             w = tokens(t)
             one.update(w)
             two.update(zip(["<s>", *w], w, strict=False))
-            one["<s>"] += 1
-    begins = one.pop("<s>", 0)
+            three.update(zip(["<s>", *w], w, w[1:], strict=False))
     n, v = sum(one.values()), len(one)
+    stored = lambda count, total: probability(quantise(np.array([math.log10(count / total)])))[0]
     out = {}
     for (d, t), h in zip(rows, held, strict=True):
         w = tokens(t)
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
         score = 0.0
-        for u, x in zip(["<s>", *w], w, strict=False):
-            c = begins if u == "<s>" else one[u]
-            q = probability(quantise(np.array([math.log10(two[u, x] / c)])))[0] if two[u, x] else 0.0
-            score += math.log10(c / (c + 5.0) * q + 5.0 / (c + 5.0) * (one[x] + 1) / (n + v + 1))
+        for k, x in enumerate(w):
+            u = w[k - 1] if k else "<s>"
+            c = one[u] if k else one[None]
+            p = c / (c + 5.0) * (stored(two[u, x], c) if two[u, x] else 0.0) + 5.0 / (c + 5.0) * (one[x] + 1) / (n + v + 1)
+            if k:
+                before = w[k - 2] if k > 1 else "<s>"
+                c, many = two[before, u], three[before, u, x]
+                p = c / (c + 5.0) * (stored(many, c) if many > 1 else 0.0) + 5.0 / (c + 5.0) * p
+            score += math.log10(p)
         out.setdefault(d, []).append((h, len(w), sum(one[x] > 0 for x in w), n, base, score))
     return out
 
@@ -78,29 +84,42 @@ def test_empty(spark):
 
 def test_elias_fano_round_trip():
     r = np.random.default_rng(1)
-    for values in ([], [0], [5, 5, 5], np.sort(r.integers(0, 1 << 40, 5000)), np.sort(r.integers(0, 300, 100_000))):
+    for values in (np.array([0, 1 << 62, (1 << 63) - 1], np.uint64), [], [0], [5, 5, 5], np.sort(r.integers(0, 1 << 40, 5000)), np.sort(r.integers(0, 300, 100_000))):
         values = np.asarray(values, np.uint64)
         e = EliasFano.build(values)
         assert (e.decode() == values).all()
         if len(values):
             i = r.integers(0, len(values), 200)
             assert (e.access(i) == values[i]).all()
-            t = r.integers(0, int(values[-1]) + 2, 200).astype(np.uint64)
+            t = np.append(r.integers(0, int(values[-1]), 199, endpoint=True), min(int(values[-1]) + 1, (1 << 63) - 1)).astype(np.uint64)
             zero = np.zeros(200, np.int64)
             assert (e.successor(zero, zero + len(values), t) == np.searchsorted(values, t)).all()
 
 
-def test_trie_lookups_agree():
+def test_trie_answers_by_successor_search(spark, monkeypatch):
     r = np.random.default_rng(2)
-    contexts = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64) << np.uint64(1))
-    ix = np.sort(r.integers(0, len(contexts), 4000))
-    word = r.integers(0, 1 << 32, 4000).astype(np.uint32)
-    order = np.lexsort((word, ix))
-    ix, word = ix[order], word[order]
-    count = r.integers(1, 50, 4000).astype(float)
-    trie = NgramTrie(contexts, np.bincount(ix, count, minlength=len(contexts)).clip(1), ix, word, count)
-    ask = np.concatenate((contexts[ix], r.choice(contexts, 500), np.array([3, 1 << 62], np.uint64)))
-    of = np.concatenate((word, r.integers(0, 1 << 32, 502).astype(np.uint32)))
-    code = trie.lookup(ask, of)
-    assert (code == trie.lookup_sorted(ask, of)).all()
-    assert (code[:4000] > 0).all() and not code[4000:].any()
+    contexts = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    pairs = {(int(i), int(w)): int(c) for i, w, c in zip(r.integers(0, len(contexts), 4000), r.integers(0, 1 << 63, 900)[r.integers(0, 900, 4000)], r.integers(1, 50, 4000))}
+    order = sorted(pairs)
+    ix, word = np.array([i for i, _ in order]), np.array([w for _, w in order], np.uint64)
+    count = np.array([pairs[k] for k in order], float)
+    totals = np.bincount(ix, count, minlength=len(contexts)).clip(1)
+    trie = NgramTrie(contexts, totals, ix, word, count)
+    ask = np.append(contexts, np.array([3, 1 << 62], np.uint64))
+    choice = np.unique(word)
+    run = r.integers(0, 200, len(ask))
+    successor = r.choice(np.append(choice, [np.uint64(5)]), run.sum())
+    code = trie.lookup(ask, run, successor)
+    of = np.repeat(np.arange(len(ask)), run)
+    for i, w, c in zip(of, successor, code):
+        many = pairs.get((int(i), int(w)), 0) if i < len(contexts) else 0
+        assert c == (quantise(np.log10(np.array([many / totals[i]])))[0] if many else 0)
+    assert (code > 0).any() and not hasattr(trie, "lookup_sorted")
+
+
+def test_queries_go_through_the_trie(spark, monkeypatch):
+    monkeypatch.setattr(NgramTrie, "lookup", lambda self, context, run, successor: np.zeros(len(successor), np.uint8))
+    pdf = pd.DataFrame({"shard": [0], "batch": [0], "contexts": [np.array([7], np.uint64).tobytes()], "context_totals": [np.array([4]).tobytes()], "runs": [np.array([1], np.uint32).tobytes()], "words": [np.array([9], np.uint64).tobytes()], "counts": [np.array([2], np.uint32).tobytes()]})
+    assert ngram_lm._answer(1)(pdf)["codes"][0] == b"\0"
+    monkeypatch.undo()
+    assert ngram_lm._answer(1)(pdf)["codes"][0] == quantise(np.log10(np.array([0.5]))).tobytes()

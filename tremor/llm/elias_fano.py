@@ -2,81 +2,83 @@
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 
 U = np.uint64
 _CHUNK = 1 << 16
-_BLOCK = 64  # bytes of the upper bits that one directory entry covers
-
-
-def _bits(packed: np.ndarray, first: int, count: int, width: int) -> np.ndarray:
-    """Values first..first+count of fixed-width integers; first is a multiple of 8."""
-    raw = np.unpackbits(packed[first * width // 8 : -(-(first + count) * width // 8)], bitorder="little")
-    rows = raw[: count * width].reshape(count, width)
-    out = np.zeros(count, U)
-    for b in range(width):
-        out |= rows[:, b].astype(U) << U(b)
-    return out
 
 
 class EliasFano:
     """A monotone sequence below 2^63: width low bits of each value as they are, the rest in unary.
 
-    Three arrays (low, high, directory) that may lie in a memory-mapped file.
+    Two byte arrays (low, high), which may lie in mapped memory.  Searches use the places of
+    the zeros among the high bits, found once when the first search comes.
     """
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.width, self.low, self.high = n, width, low, high
+        self._zeros: np.ndarray | None = None
+        self._ones: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, dtype=U)
         n, top = len(values), int(values[-1]) if len(values) else 0
-        width = max(0, (top // max(1, n)).bit_length() - 1)
+        width = min(56, max(0, (top // max(1, n)).bit_length() - 1))
         low = []
         for i in range(0, n if width else 0, _CHUNK):
             part = values[i : i + _CHUNK]
-            rows = np.empty((len(part), width), np.uint8)
-            for b in range(width):
-                rows[:, b] = (part >> U(b)) & U(1)
+            rows = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
             low.append(np.packbits(rows.ravel(), bitorder="little"))
-        flags = np.zeros(-(-(n + (top >> width) + 1) // (8 * _BLOCK)) * 8 * _BLOCK, bool)
+        flags = np.zeros(n + (top >> width) + 2, bool)
         flags[(values >> U(width)).astype(np.int64) + np.arange(n)] = True
-        high = np.packbits(flags, bitorder="little")
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1)))).astype(np.int64)
-        return cls(n, width, np.concatenate(low) if low else np.zeros(0, np.uint8), high, ones)
+        pad = np.zeros(8, np.uint8)  # eight bytes are read at once
+        return cls(n, width, np.concatenate([*low, pad]), np.packbits(flags, bitorder="little"))
 
-    def decode(self) -> np.ndarray:
-        """The whole sequence, in one pass over both bit arrays."""
-        out = (np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)).astype(U) << U(self.width)
-        for i in range(0, self.n if self.width else 0, _CHUNK):
-            m = min(_CHUNK, self.n - i)
-            out[i : i + m] |= _bits(self.low, i, m, self.width)
-        return out
+    def _bits(self) -> np.ndarray:
+        return np.unpackbits(self.high, bitorder="little")
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), U)
+        words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
+        p = i * self.width
+        return (words[p >> 3] >> (p & 7).astype(U)) & U((1 << self.width) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        """Values at the positions i, from the directory and one block each."""
+        """Values at the positions i."""
+        if self._ones is None:
+            self._ones = np.flatnonzero(self._bits())
         i = np.asarray(i, np.int64)
-        block = np.searchsorted(self.ones, i, side="right") - 1
-        bits = np.unpackbits(self.high.reshape(-1, _BLOCK)[block], axis=1, bitorder="little")
-        at = np.argmax(np.cumsum(bits, axis=1, dtype=np.int32) > (i - self.ones[block])[:, None], axis=1)
-        out = (block * 8 * _BLOCK + at - i).astype(U) << U(self.width)
-        for b in range(self.width):
-            p = i * self.width + b
-            out |= ((self.low[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(U) << U(b)
-        return out
+        return (self._ones[i] - i).astype(U) << U(self.width) | self._low(i)
+
+    def decode(self) -> np.ndarray:
+        """The whole sequence."""
+        return self.access(np.arange(self.n))
 
     def successor(self, first: np.ndarray, end: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """For each range first..end the first position whose value is at least the target, or end."""
-        first, end, target = (np.array(x) for x in (first, end, target))
-        while (open_ := np.flatnonzero(first < end)).size:
-            middle = (first[open_] + end[open_]) // 2
-            less = self.access(middle) < target[open_]
-            first[open_] = np.where(less, middle + 1, first[open_])
-            end[open_] = np.where(less, end[open_], middle)
-        return first
+        """For each range first..end the first position whose value is at least the target, or end.
+
+        The zeros around the target's high part bound the few values that share it; these are
+        passed by their low bits, all searches together."""
+        if self._zeros is None:
+            self._zeros = np.flatnonzero(self._bits() == 0)
+        target = np.asarray(target, U)
+        high = np.minimum(target >> U(self.width), U(len(self._zeros) - 1)).astype(np.int64)
+        beyond = (target >> U(self.width)) > U(len(self._zeros) - 1)
+        # zero number h - 1 stands before the first value with high part h, zero number h behind the last
+        at = np.where(high > 0, self._zeros[np.maximum(high - 1, 0)] - high + 1, 0)
+        stop = np.minimum(self._zeros[high] - high, end)
+        at = np.where(beyond, self.n, np.maximum(at, first))
+        low = target & U((1 << self.width) - 1)
+        open_ = np.flatnonzero(at < stop)
+        while open_.size:
+            open_ = open_[self._low(at[open_]) < low[open_]]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return np.minimum(at, end)
 
 
 #: log10 probabilities in 255 steps down to 10^-LOWEST; code 0 is "not there".
@@ -93,64 +95,54 @@ def probability(code: np.ndarray) -> np.ndarray:
 
 
 class NgramTrie:
-    """Contexts (64-bit names), pointers into their successors (32-bit names), quantised probabilities.
+    """Contexts (63-bit names), pointers into their successors, quantised probabilities.
 
-    All levels lie in one unlinked memory-mapped file, so they vanish with the process.
-    Successors are stored as context position * 2^32 + name, which is monotone, and are
-    searched inside their context's pointer range only.
+    Successors have numbers in a level of their own (sorted 63-bit names of all words that
+    follow anything), so context place * 2^32 + number is monotone and no two words share a
+    name.  All levels lie in one region of mapped memory, without a file.
     """
 
     def __init__(self, contexts: np.ndarray, counts_of: np.ndarray, context_ix: np.ndarray, successor: np.ndarray, count: np.ndarray):
         """contexts sorted, counts_of their totals; the others one entry a pair, sorted by (context_ix, successor)."""
         pointers = np.searchsorted(context_ix, np.arange(len(contexts) + 1))
         code = quantise(np.log10(count / counts_of[context_ix])) if len(count) else np.zeros(0, np.uint8)
-        parts = (
-            EliasFano.build(contexts >> U(1)),
-            EliasFano.build(pointers),
-            EliasFano.build(context_ix.astype(U) << U(32) | successor.astype(U)),
-        )
-        arrays = [a for p in parts for a in (p.low, p.high, p.ones.view(np.uint8))] + [code]
-        with tempfile.TemporaryFile() as f:
-            for a in arrays:
-                a.tofile(f)
-            f.flush()
-            size = sum(map(len, arrays))
-            mapped = np.memmap(f, dtype=np.uint8, mode="r", shape=(size,)) if size else np.zeros(0, np.uint8)
+        names, number = np.unique(successor, return_inverse=True)
+        parts = [EliasFano.build(x) for x in (contexts, names, pointers, context_ix.astype(U) << U(32) | number.astype(U))]
+        arrays = [a for p in parts for a in (p.low, p.high)] + [code]
         cut = np.cumsum([0, *map(len, arrays)])
+        mapped = np.frombuffer(mmap.mmap(-1, int(cut[-1]) + 1), np.uint8)
+        for a, at in zip(arrays, cut[:-1], strict=True):
+            mapped[at : at + len(a)] = a
         views = [mapped[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        self.levels = [
-            EliasFano(p.n, p.width, views[3 * k], views[3 * k + 1], np.frombuffer(views[3 * k + 2].tobytes(), np.int64))
-            for k, p in enumerate(parts)
-        ]
-        self.code, self.size = views[-1], int(size)
-
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of (context, successor) in any order, 0 where not stored: successor searches."""
-        names, pointers, pairs = self.levels
-        n = len(context)
-        ix = names.successor(np.zeros(n, np.int64), np.full(n, names.n), context >> U(1))
-        hit = ix < names.n
-        hit[hit] = names.access(ix[hit]) == context[hit] >> U(1)
-        out = np.zeros(n, np.uint8)
-        at = np.flatnonzero(hit)
-        key = ix[at].astype(U) << U(32) | successor[at].astype(U)
-        end = pointers.access(ix[at] + 1).astype(np.int64)
-        found = pairs.successor(pointers.access(ix[at]).astype(np.int64), end, key)
-        inside = found < end
+        self.levels = [EliasFano(p.n, p.width, views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts)]
+        self.code, self.size = views[-1], int(cut[-1])
+
+    @staticmethod
+    def _find(level: EliasFano, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of names in a level, and whether they are there."""
+        n = len(name)
+        at = level.successor(np.zeros(n, np.int64), np.full(n, level.n), name)
+        hit = at < level.n
+        hit[hit] = level.access(at[hit]) == name[hit]
+        return at, hit
+
+    def lookup(self, context: np.ndarray, run: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of pairs, 0 where not stored: run[i] successors in turn belong to context[i].
+
+        Each context is found once and opens its pointer range; a successor search inside that
+        range answers for each of its words."""
+        names, words, pointers, pairs = self.levels
+        ix, hit = self._find(names, context)
+        first, end = np.zeros((2, len(context)), np.int64)
+        first[hit], end[hit] = pointers.access(ix[hit]), pointers.access(ix[hit] + 1)
+        distinct, back = np.unique(successor, return_inverse=True)
+        number, known = self._find(words, distinct)
+        of = np.repeat(np.arange(len(context)), run)
+        ask = np.flatnonzero(hit[of] & known[back])
+        key = ix[of[ask]].astype(U) << U(32) | number[back[ask]].astype(U)
+        found = pairs.successor(first[of[ask]], end[of[ask]], key)
+        inside = found < end[of[ask]]
         inside[inside] = pairs.access(found[inside]) == key[inside]
-        out[at[inside]] = self.code[found[inside]]
-        return out
-
-    def lookup_sorted(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The same for many pairs: each level is decoded once, front to back."""
-        names, _, pairs = (x.decode() for x in self.levels)
-        ix = np.searchsorted(names, context >> U(1))
-        ok = ix < len(names)
-        ok[ok] = names[ix[ok]] == context[ok] >> U(1)
-        key = ix.astype(U) << U(32) | successor.astype(U)
-        at = np.searchsorted(pairs, key)
-        ok &= at < len(pairs)
-        ok[ok] = pairs[at[ok]] == key[ok]
-        out = np.zeros(len(key), np.uint8)
-        out[ok] = self.code[at[ok]]
+        out = np.zeros(len(successor), np.uint8)
+        out[ask[inside]] = self.code[found[inside]]
         return out
