@@ -53,40 +53,44 @@ MIN_TRIPLE = 2
 END, BEGIN = U(1), U(2)
 
 
-def _pack(batches):
+def _pack(most: int):
     """Batches of whole texts: doc keys, held-out flags, token counts, vocabulary, token places."""
-    k1, held, count, tokens, total = [], [], [], [], 0
-    part, serial = TaskContext.get().partitionId(), 0
-
-    def row():
-        names, place = np.unique(np.concatenate(tokens), return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([(part << 24) + serial]),
-                pa.array([k1]),
-                pa.array([held]),
-                pa.array([count]),
-                pa.array([names.tobytes()]),
-                pa.array([place.astype(np.uint32).tobytes()]),
-            ],
-            ["batch", "k1", "held", "n", "words", "places"],
-        )
 
-    for b in batches:
-        data, at = binary(b.column("bytes"))
-        ids, flags = b.column("k1").to_pylist(), b.column("held").to_pylist()
-        for i, j, h, o in words(data, at):
-            ends = np.insert(h >> U(1), o[1:], END)  # one end after each text
-            k1 += ids[i:j]
-            held += flags[i:j]
-            count += (np.diff(o) + 1).tolist()
-            tokens.append(ends)
-            total += len(ends)
-            if total >= BATCH_TOKENS:
-                yield row()
-                k1, held, count, tokens, total, serial = [], [], [], [], 0, serial + 1
-    if tokens:
-        yield row()
+    def run(batches):
+        k1, held, count, tokens, total = [], [], [], [], 0
+        part, serial = TaskContext.get().partitionId(), 0
+
+        def row():
+            names, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(part << 24) + serial]),
+                    pa.array([k1]),
+                    pa.array([held]),
+                    pa.array([count]),
+                    pa.array([names.tobytes()]),
+                    pa.array([place.astype(np.uint32).tobytes()]),
+                ],
+                ["batch", "k1", "held", "n", "words", "places"],
+            )
+
+        for b in batches:
+            data, at = binary(b.column("bytes"))
+            ids, flags = b.column("k1").to_pylist(), b.column("held").to_pylist()
+            for i, j, h, o in words(data, at):
+                ends = np.insert(h >> U(1), o[1:], END)  # one end after each text
+                k1 += ids[i:j]
+                held += flags[i:j]
+                count += (np.diff(o) + 1).tolist()
+                tokens.append(ends)
+                total += len(ends)
+                if total >= most:
+                    yield row()
+                    k1, held, count, tokens, total, serial = [], [], [], [], 0, serial + 1
+        if tokens:
+            yield row()
+
+    return run
 
 
 class _Grams:
@@ -302,7 +306,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
     table = f"tremor_lm_{uuid.uuid4().hex}"
     with settings(spark, spark_sql_execution_arrow_maxBytesPerBatch=ARROW_BYTES):
         texts.mapInArrow(
-            _pack, "batch long, k1 array<long>, held array<boolean>, n array<long>, words binary, places binary"
+            _pack(BATCH_TOKENS), "batch long, k1 array<long>, held array<boolean>, n array<long>, words binary, places binary"
         ).write.bucketBy(shuffle_partitions(spark), "batch").option("compression", "zstd").saveAsTable(table)
 
     def back(answers: DataFrame, name: str, *fields: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""SentencePiece encoding and decoding with a table of distinct chunks.
+"""SentencePiece encoding and decoding with one table of the corpus's distinct chunks.
 
 If no piece of a model has a whitespace marker after another character, no merge crosses
 the start of a run of markers.  A text then falls into chunks, each a run of markers and
 the characters up to the next run, and every chunk has its own ids wherever it stands.
-Each task keeps a table of the distinct chunks it met, has the library segment new ones
-only, and joins their ids back by position.  The table belongs to the Python worker and
-is emptied when it holds TABLE_CHUNKS chunks.  A table shared by all tasks would need
-every word shuffled twice, several times the input.
+
+1. Texts are packed, where they are read, into batches: the batch's distinct chunks in the
+   order of a checksum, and the places of its texts' chunks in that list.  Batches are
+   stored once, bucketed by batch, and never shuffled again.
+2. Each batch sends its distinct chunks, not their occurrences, to the owners of checksum
+   ranges.  An owner has the library segment each of its distinct chunks once, so a chunk
+   is segmented once in the whole corpus, and answers every batch with ids.
+3. Each batch joins the ids back by position.
 
 A model with pieces that cross markers is applied to whole texts.
 """
@@ -15,150 +19,239 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_of
+from .common import ARROW_BYTES, doc_id_of, forget, keep, settings, shuffle_partitions
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000
-#: Longer chunks are segmented each time, so the table stays small.
-LONG_CHUNK = 200
-#: Texts are taken together until they have so many characters.
+#: Chunks of texts in a batch; characters of texts that are encoded together when chunks are not used.
+BATCH_CHUNKS = 1 << 20
 TOGETHER = 1 << 20
+#: Distinct chunks, over batches, that an owner gets; every shuffle partition has SHARDS_A_PART owners at least.
+SHARD_CHUNKS = 1 << 19
+SHARDS_A_PART = 2
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-class ChunkCodec:
-    """Encode and decode exactly as the library does, one segmentation for each distinct chunk."""
+class Codec:
+    """The library's model, and whether its chunks may be encoded apart."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
-        self.crossing = any(MARK in p.lstrip(MARK) for p in pieces)
-        self.faithful = self._keeps_spaces()
-        self.table: dict[str, str] = {}
-        self.changed: dict[str, str] = {}  # chunks whose decoding differs from the chunk
+        self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self._keeps_spaces()
+        self.mark = [self.sp.piece_to_id(MARK)]
 
     def _keeps_spaces(self) -> bool:
         """Whether the model normalises nothing and puts one marker before a text."""
         probe = "Å  ﬁ　½ a"
         return self.sp.decode(self.sp.encode(probe)) == probe and self.sp.encode("a") == self.sp.encode("b a")[-1:]
 
-    def _add(self, chunks: list[str], table: dict[str, str]) -> None:
-        plain = [c[1:].replace(MARK, " ") for c in chunks]  # the library puts the first marker back
-        bare = [not p for p in plain]
-        ids = self.sp.encode(plain, num_threads=1)
-        mark = None
-        for c, p, b, i in zip(chunks, plain, bare, ids, strict=True):
-            if b:
-                mark = [self.sp.piece_to_id(MARK)] if mark is None else mark
-                i = mark
-            table[c] = ",".join(map(str, i))
-            back = self.sp.decode(i)
-            if back != p:
-                self.changed[c] = back
-
-    def encode_decode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """Comma-joined ids and decoded text of each text."""
-        if self.crossing or not self.faithful:
-            ids = self.sp.encode(texts, num_threads=1)
-            return [(",".join(map(str, i)), self.sp.decode(i)) for i in ids]
-        cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.table) > TABLE_CHUNKS:
-            self.table.clear()
-            self.changed.clear()
-        new, long = [], {}
-        for chunks in cut:
-            for c in set(chunks).difference(self.table):
-                if len(c) <= LONG_CHUNK:
-                    self.table[c] = ""
-                    new.append(c)
-                else:
-                    long[c] = ""
-        self._add(new, self.table)
-        self._add(list(long), long)
-        out = []
-        for t, chunks in zip(texts, cut, strict=True):
-            get = self.table.__getitem__ if not long or long.keys().isdisjoint(chunks) else lambda c: long[c] if c in long else self.table[c]
-            ids = ",".join(map(get, chunks))
-            if self.changed and not self.changed.keys().isdisjoint(chunks):
-                back = " ".join(self.changed.get(c, c[1:].replace(MARK, " ")) for c in chunks)
-            else:
-                back = t.replace(MARK, " ")
-            out.append((ids, back))
-        for c in long:
-            self.changed.pop(c, None)
-        return out
+    def segment(self, chunks: list[str]) -> tuple[list[str], list[str | None]]:
+        """Comma-joined ids of each chunk, and its decoding where that is not the chunk itself."""
+        plain = [plain_of(c) for c in chunks]  # the library puts the first marker back
+        ids = [i if p else self.mark for p, i in zip(plain, self.sp.encode(plain, num_threads=1), strict=True)]
+        backs = self.sp.decode(ids) if ids else []
+        return [",".join(map(str, i)) for i in ids], [None if b == p else b for b, p in zip(backs, plain, strict=True)]
+
+
+def plain_of(chunk: str) -> str:
+    """A chunk as text, without its first marker."""
+    return chunk[1:].replace(MARK, " ")
+
+
+def chunks_of(text: str) -> list[str]:
+    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 @lru_cache(maxsize=2)
-def _codec(model: str) -> ChunkCodec:
-    return ChunkCodec(model)
+def codec(model: str) -> Codec:
+    return Codec(model)
 
 
-def _together(texts: list[str]):
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > TOGETHER:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _checksums(chunks: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in chunks], np.uint32)
 
 
-def _run(model: str, full: bool):
+def _pack(most: int):
+    """Batches of whole texts: doc keys, chunks in each text, distinct chunks, places."""
+
     def run(batches):
-        codec = _codec(model)
+        part, serial = TaskContext.get().partitionId(), 0
+        k1, count, number, places = [], [], {}, []
+
+        def row():
+            chunks = list(number)
+            sums = _checksums(chunks)
+            order = np.lexsort((np.arange(len(sums)), sums))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            found = [pa.array([(part << 24) + serial]), pa.array([k1], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))]
+            found += [pa.array([[chunks[i] for i in order]], pa.list_(pa.string())), pa.array([rank[np.array(places, np.int64)].tobytes()])]
+            return pa.RecordBatch.from_arrays(found, ["batch", "k1", "n", "chunks", "places"])
+
         for b in batches:
-            found = [x for part in _together(b.column("text").to_pylist()) for x in codec.encode_decode(part)]
-            n = [i.count(",") + 1 if i else 0 for i, _ in found]
-            if full:
-                ids = pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in found], pa.list_(pa.int32()))
-                columns = [b.column("k1"), pa.array(n, pa.int64()), ids, pa.array([d for _, d in found], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "n_tokens", "ids", "decoded"])
-            else:
-                sha = [[hashlib.sha256(x[k].encode()).hexdigest() for x in found] for k in (0, 1)]
-                columns = [b.column("k1"), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sha)]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for key, text in zip(b.column("k1").to_pylist(), b.column("text").to_pylist(), strict=True):
+                chunks = chunks_of(text)
+                k1.append(key)
+                count.append(len(chunks))
+                for c in set(chunks).difference(number):
+                    number[c] = len(number)
+                places += map(number.__getitem__, chunks)
+                if len(places) >= most:
+                    yield row()
+                    k1, count, number, places, serial = [], [], {}, [], serial + 1
+        if k1:
+            yield row()
 
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select(key.alias("k1"), F.coalesce("text", F.lit("")).alias("text"))
+def _send(shards: int):
+    cut_at = np.array([(s << 32) // shards for s in range(1, shards)], np.uint64)
+
+    def run(batches):
+        for b in batches:
+            for batch, chunks in zip(b.column("batch").to_pylist(), b.column("chunks"), strict=True):
+                sums = _checksums(chunks.as_py())
+                cut = np.concatenate(([0], np.searchsorted(sums, cut_at), [len(sums)]))
+                used = np.flatnonzero(np.diff(cut))
+                offsets = pa.array(np.append(cut[used], len(sums)), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, chunks.values)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), lists], ["shard", "batch", "chunks"])
+
+    return run
+
 
+def _answer(model: str):
+    """One owner: each distinct chunk is segmented once; ids for all chunks of all batches."""
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_tokens, ids, decoded.
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("chunks").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values = lists.flatten().dictionary_encode()
+        ids, backs = codec(model).segment(values.dictionary.to_pylist())
+        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
+        new = np.zeros(table.num_rows, np.int64)
+        new[0] = len(ids)  # segmentations, told once
+        answer = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.string()).take(values.indices))
+        return pa.table({"shard": table.column("shard"), "batch": table.column("batch"), "ids": answer(ids), "backs": answer(backs), "segmented": pa.array(new)})
 
-    No begin or end ids, no sampling.  A null text is empty and has no ids; repeated rows
-    give repeated rows; an empty table gives none; other columns of docs are not read.
-    model is a path that every executor can read.
+    return run
+
+
+def _join_back(full: bool, decoded: bool):
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                chunks = b.column("chunks")[r].as_py()
+                answers = sorted(b.column("answers")[r].as_py() or [], key=lambda x: x["shard"])
+                ids = [i for a in answers for i in a["ids"]]
+                backs = [plain_of(c) if x is None else x for c, x in zip(chunks, (x for a in answers for x in a["backs"]), strict=True)]
+                tokens = np.array([i.count(",") + 1 for i in ids], np.int64)
+                places = np.frombuffer(b.column("places")[r].as_buffer(), np.uint32)
+                ends = np.cumsum(np.array(b.column("n")[r].as_py(), np.int64))
+                total = np.concatenate(([0], np.cumsum(tokens[places]))) if len(places) else np.zeros(1, np.int64)
+                k1 = b.column("k1")[r].values
+                for a in range(0, len(ends), 512):  # texts leave in small batches
+                    e, found = min(a + 512, len(ends)), []
+                    for k in range(a, e):
+                        mine = places[ends[k - 1] if k else 0 : ends[k]].tolist()
+                        found.append((",".join(map(ids.__getitem__, mine)), " ".join(map(backs.__getitem__, mine)) if decoded else None))
+                    start = np.concatenate(([0], ends))[a:e]
+                    yield _rows(k1.slice(a, e - a), total[ends[a:e]] - total[start], found, full)
+
+    return run
+
+
+def _rows(k1: pa.Array, n, found: list[tuple[str, str | None]], full: bool) -> pa.RecordBatch:
+    if full:
+        ids = pa.array([np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32) for i, _ in found], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([k1, pa.array(n, pa.int64()), ids, pa.array([d for _, d in found], pa.string())], ["k1", "n_tokens", "ids", "decoded"])
+    sha = [[hashlib.sha256(x[k].encode()).hexdigest() for x in found] for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([k1, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sha)], ["k1", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _whole(model: str, full: bool):
+    """Texts encoded one by one, for models whose chunks depend on each other."""
+
+    def run(batches):
+        sp = codec(model).sp
+        for b in batches:
+            texts, a = b.column("text").to_pylist(), 0
+            while a < len(texts):
+                e, size = a, 0
+                while e < len(texts) and (e == a or size + len(texts[e]) <= TOGETHER):
+                    size, e = size + len(texts[e]), e + 1
+                ids = sp.encode(texts[a:e], num_threads=1)
+                yield _rows(b.column("k1").slice(a, e - a), [len(i) for i in ids], [(",".join(map(str, i)), sp.decode(i)) for i in ids], full)
+                a = e
+
+    return run
+
+
+def segment_chunks(packed: DataFrame, model: str, n_batches: int) -> DataFrame:
+    """shard, batch, ids, backs, segmented: the ids of every batch's distinct chunks, from one table."""
+    shards = max(SHARDS_A_PART * shuffle_partitions(packed.sparkSession), n_batches * BATCH_CHUNKS // 4 // SHARD_CHUNKS)
+    messages = packed.select("batch", "chunks").mapInArrow(_send(shards), "shard long, batch long, chunks array<string>")
+    return keep(
+        messages.groupBy("shard").applyInArrow(_answer(model), "shard long, batch long, ids array<string>, backs array<string>, segmented long"), "segments"
+    )
+
+
+def _encoded(docs: DataFrame, model: str, full: bool, decoded: bool) -> DataFrame:
+    spark = docs.sparkSession
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(key.alias("k1"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = "k1 long, n_tokens long, " + ("ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string")
+    if not codec(model).apart:
+        return rows.mapInArrow(_whole(model, full), schema)
+    table = f"tremor_chunks_{uuid.uuid4().hex}"
+    with settings(spark, spark_sql_execution_arrow_maxBytesPerBatch=ARROW_BYTES):
+        packed = rows.mapInArrow(_pack(BATCH_CHUNKS), "batch long, k1 array<long>, n array<long>, chunks array<string>, places binary")
+        packed.write.bucketBy(shuffle_partitions(spark), "batch").option("compression", "zstd").saveAsTable(table)
+    try:
+        stored = spark.table(table)
+        answers = segment_chunks(stored, model, stored.count())
+        by_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "backs")).alias("answers"))
+        out = keep(stored.join(by_batch.hint("merge"), "batch", "left").mapInArrow(_join_back(full, decoded), schema), "encoded")
+        forget(answers)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return out
+
+
+def encode(docs: DataFrame, model: str, decoded: bool = True) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_tokens, ids, decoded (null if not wanted).
+
+    No begin or end ids, no sampling.  A null or empty text has no ids; a very long text is
+    one batch, and a chunk may be of any length; repeated rows give repeated rows; an empty
+    table gives none; other columns of docs are not read.  model is a path that every
+    executor can read.
     """
-    out = _rows(docs).mapInArrow(_run(model, True), "k1 long, n_tokens long, ids array<int>, decoded string")
-    return out.select(doc_id_of().alias("doc_id"), "n_tokens", "ids", "decoded")
+    return _encoded(docs, model, True, decoded).select(doc_id_of().alias("doc_id"), "n_tokens", "ids", "decoded")
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
     """The same with digests in place of ids and text: ids_sha256 (decimal ids joined by commas), decoded_sha256."""
-    out = _rows(docs).mapInArrow(_run(model, False), "k1 long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(doc_id_of().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return _encoded(docs, model, False, True).select(doc_id_of().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) -> (doc_id, text) with the library's decode; null ids are empty."""
 
     def run(batches):
-        sp = _codec(model).sp
+        sp = codec(model).sp
         for b in batches:
             texts = [sp.decode(i or []) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
