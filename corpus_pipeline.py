@@ -31,7 +31,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each text."""
-    return sentencepiece_codec.encode(docs, piece_model()).select("doc_id", "n_tokens", "ids")
+    return sentencepiece_codec.encode(docs, piece_model(), decoded=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
