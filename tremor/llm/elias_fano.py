@@ -61,8 +61,8 @@ class EliasFano:
     def successor(self, first: np.ndarray, end: np.ndarray, target: np.ndarray) -> np.ndarray:
         """For each range first..end the first position whose value is at least the target, or end.
 
-        The zeros around the target's high part bound the few values that share it; these are
-        passed by their low bits, all searches together."""
+        The zeros around the target's high part bound the values that share it; among these the
+        low bits are halved, all searches together."""
         if self._zeros is None:
             self._zeros = np.flatnonzero(self._bits() == 0)
         target = np.asarray(target, U)
@@ -75,8 +75,10 @@ class EliasFano:
         low = target & U((1 << self.width) - 1)
         open_ = np.flatnonzero(at < stop)
         while open_.size:
-            open_ = open_[self._low(at[open_]) < low[open_]]
-            at[open_] += 1
+            middle = (at[open_] + stop[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            at[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
             open_ = open_[at[open_] < stop[open_]]
         return np.minimum(at, end)
 
@@ -98,7 +100,7 @@ class NgramTrie:
     """Contexts (63-bit names), pointers into their successors, quantised probabilities.
 
     Successors have numbers in a level of their own (sorted 63-bit names of all words that
-    follow anything), so context place * 2^32 + number is monotone and no two words share a
+    follow anything), so context place * words + number is monotone and no two words share a
     name.  All levels lie in one region of mapped memory, without a file.
     """
 
@@ -107,7 +109,7 @@ class NgramTrie:
         pointers = np.searchsorted(context_ix, np.arange(len(contexts) + 1))
         code = quantise(np.log10(count / counts_of[context_ix])) if len(count) else np.zeros(0, np.uint8)
         names, number = np.unique(successor, return_inverse=True)
-        parts = [EliasFano.build(x) for x in (contexts, names, pointers, context_ix.astype(U) << U(32) | number.astype(U))]
+        parts = [EliasFano.build(x) for x in (contexts, names, pointers, context_ix.astype(U) * U(len(names)) + number.astype(U))]
         arrays = [a for p in parts for a in (p.low, p.high)] + [code]
         cut = np.cumsum([0, *map(len, arrays)])
         mapped = np.frombuffer(mmap.mmap(-1, int(cut[-1]) + 1), np.uint8)
@@ -139,7 +141,7 @@ class NgramTrie:
         number, known = self._find(words, distinct)
         of = np.repeat(np.arange(len(context)), run)
         ask = np.flatnonzero(hit[of] & known[back])
-        key = ix[of[ask]].astype(U) << U(32) | number[back[ask]].astype(U)
+        key = ix[of[ask]].astype(U) * U(words.n) + number[back[ask]].astype(U)
         found = pairs.successor(first[of[ask]], end[of[ask]], key)
         inside = found < end[of[ask]]
         inside[inside] = pairs.access(found[inside]) == key[inside]
