@@ -74,17 +74,40 @@ def test_top_k(spark):
     rows = [(i, v, g) for i, v, g in make(1) if i is not None]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(map(tuple, top_k(df, df.where("vec_id % 10 = 0"), k=5, scale=16).collect()))
-    full = {}
-    for i, v, _ in rows:
-        if v and all(x is not None and np.isfinite(x) for x in v):
-            full[i] = np.floor(16 * np.array(v))
+    full = [(i, np.floor(16 * np.array(v))) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in full if i % 10 == 0):
-        best = sorted((-int(full[q] @ x), i) for i, x in full.items() if i != q and len(x) == len(full[q]))[:5]
+    for q, a in {i: x for i, x in full if i % 10 == 0}.items():
+        best = sorted((-int(a @ x), i) for i, x in full if i != q and len(x) == len(a))[:5]  # every row but the query's own
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
 
 
+def test_repeated_rows_are_candidates_each(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [0.1, 0.1])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(df, df.where("vec_id = 3"), k=3).orderBy("rank").collect()]
+    assert [g[2] for g in got] == [1, 1, 2]
+    assert [r.vec_id for r in top_k(df, df.where("vec_id = 1"), k=3).orderBy("rank").collect()] == [2, 2, 3]
+
+
+def test_exact_mode_and_recall_on_clustered_vectors(spark):
+    r = np.random.default_rng(11)
+    c = r.normal(size=(40, 48))
+    rows = [(i, (c[i % 40] + 0.25 * r.normal(size=48)).tolist(), i % 2) for i in range(2400)]
+    rows += [(5000 + i, (np.array(rows[i][1]) + 0.09 * r.normal(size=48)).tolist(), rows[i][2]) for i in range(600)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([g for *_, g in rows])
+    total = int(((x @ x.T >= 0.98) & (label[:, None] == label)).sum()) - len(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = lambda **more: sum(g.n_links for g in near_duplicate_vectors(df, **more).collect())
+    assert total > 500 and 0.9 * total <= found() <= total and found(exact=True) == total
+
+
+def test_no_labels(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], None), (2, [1.0, 2.0], None)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, near_duplicate_vectors(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
 def test_search_leaves_most_rows_out():
     r = np.random.default_rng(3)
     x = np.floor(1024 * np.cumsum(r.normal(size=(4000, 64)), axis=1))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from tremor.llm.jaccard_join import Scheme, near_duplicates
+from tremor.llm.jaccard_join import Scheme, drop_near_duplicates, near_duplicates
 
 
 def shingles(text, k):
@@ -67,3 +67,20 @@ def test_segments_cover_the_difference():
     assert s.high == 16 and s.differ == 15 * (14 + 16) // 185
     wide = Scheme(9, 100, 150, 85)
     assert not wide.deletion and wide.m > wide.differ + 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(*x, 5, "u") for x in rows], "doc_id long, text string, k1 int, K2 string")
+    got = drop_near_duplicates(docs, 5, 80)
+    assert got.columns == docs.columns
+    by = {}
+    for d, n, c in near_duplicates(docs, 5, 80).collect():
+        by.setdefault(c if n else ("alone", d), []).append(d)
+    kept = got.collect()
+    assert all(r.k1 == 5 and r.K2 == "u" for r in kept)
+    wordless = sum(not shingles(t, 5) for _, t in rows)
+    groups = [c for c in by if not isinstance(c, tuple)]
+    assert len(kept) == len(groups) + wordless
+    assert {r.doc_id for r in kept if shingles(r.text, 5)} == {None if c is None else c for c in groups}
+    assert drop_near_duplicates(docs.limit(0)).collect() == []

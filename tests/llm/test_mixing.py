@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from tremor.llm.mixing import apply_mix, flight, mix_sources
 
@@ -56,3 +59,19 @@ def test_apply_and_empty(spark):
     assert counts == {r.doc_id: r.copies for r in mix_sources(docs).collect() if r.copies}
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(empty).collect() == [] and apply_mix(empty).collect() == []
+
+
+def test_apply_takes_exactly_what_the_mix_takes(spark):
+    rows = [(7, "five words of this row", "a", "x")] * 5 + [(None, "w " * 9, None, "y")] * 7 + [(None, None, "a", "z"), (8, "", None, "z")]
+    rows += [(100 + i, "word " * (i % 13 + 1), "abc"[i % 3], "t") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies string").withColumn("Rank", F.lit(1)).withColumn("tie_id", F.lit(2)).withColumn("uid", F.lit(3))
+    got = apply_mix(docs)
+    assert got.columns == docs.columns
+    count = Counter((r.doc_id, r.source, r.text) for r in got.collect())
+    want = Counter()
+    for r in mix_sources(docs).where("copies > 0").collect():
+        want[r.doc_id, r.source] += r.copies
+    have = Counter()
+    for (d, s, _), n in count.items():
+        have[d, s] += n
+    assert have == want and (8, None, "") not in count

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from tremor.llm.secret_scan import redact_secrets, scan_secrets
+from pyspark.sql import functions as F
+
+from tremor.llm.secret_scan import EXAMPLE_REPOSITORIES, base_spans, long_tokens, redact_secrets, scan_secrets
 
 
 def base(text):
@@ -51,8 +53,26 @@ def test_base_spans_and_owners(spark):
     assert by[8].n_example == 1 and by[8].n_live == 0
 
 
+def test_repositories_decide_too(spark):
+    texts = [(i, f"text {i} secret: Kq7{'xZ' * 4}91ab", "one", 0) for i in range(EXAMPLE_REPOSITORIES)]
+    texts += [(1000 + i, "the same text with token=9fXk27Lq0aZw1c", "one", 0) for i in range(EXAMPLE_REPOSITORIES)]  # one repository
+    texts += [(5000, "password: aaaaaaaaaaaa", "two", 0)]
+    got = {g.doc_id: g for g in scan_secrets(spark.createDataFrame(texts, "doc_id long, text string, source string, owner int")).collect()}
+    assert got[3].n_live == 0 and got[3].n_example == 1 and got[1003].n_live == 1 and got[5000].n_live == 0
+    assert all(g.spans for g in got.values())
+
+
+def test_long_text(spark):
+    text = f"{KEY} " + "token=abcdefgh12 filler " * 30_000 + KEY
+    got = scan_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert got.n_assign == 30_000 and got.spans.count("owned") == 2
+    taken = base_spans(text)
+    slow = [(s, 3, e, v) for s, _, e, v in long_tokens(text[:2000], []) if all(e <= a or b <= s for a, _, b, _ in taken)]
+    assert long_tokens(text[:2000], [x for x in taken if x[2] <= 2000]) == slow
+
+
 def test_redaction(spark):
-    docs = spark.createDataFrame([(*r[:3], len(r[1] or ""), "x") for r in rows()], "doc_id long, text string, source string, n_chars int, _x string")
+    docs = spark.createDataFrame([(*r[:3], len(r[1] or ""), "x") for r in rows()], "doc_id long, text string, source string, n_chars int, k1 string").withColumn("Live", F.lit(1))
     got = redact_secrets(docs)
     assert got.columns == docs.columns and got.count() == len(rows())
     by = {r.doc_id: r for r in got.collect()}

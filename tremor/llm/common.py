@@ -102,6 +102,12 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns(row_key())
 
 
+def with_fresh_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with the two key columns under names that docs does not have, and these names."""
+    names = fresh(docs.columns, *row_key())
+    return docs.withColumns(dict(zip(names, row_key().values(), strict=True))), names
+
+
 def doc_id_of(k1="k1"):
     """The doc_id that with_row_key turned into k1."""
     return F.when(F.col(k1) != _NO_ID, F.col(k1))
@@ -124,20 +130,20 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_by
     return big.join(small, on, how)
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """Add rank (from 1) in the given order without bringing all rows to one task.
+def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Add the rank (from 1) in the given order without bringing all rows to one task.
 
     Range partitions are written with their number; each counts its own rows, and one row
     for each partition carries the sum of those before it.
     """
     columns = df.columns
-    part, before = fresh([*columns, "rank"], "part", "before")
+    part, before, many = fresh([*columns, name], "part", "before", "many")
     ranged = keep(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn(part, F.spark_partition_id()), "ranged")
-    ahead = ranged.groupBy(part).count().select(
-        part, F.coalesce(F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before)
+    ahead = ranged.groupBy(part).agg(F.count("*").alias(many)).select(
+        part, F.coalesce(F.sum(many).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before)
     )
     return (
         ranged.join(F.broadcast(ahead), part)  # a row for each partition
-        .withColumn("rank", F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col(before))
-        .select(*columns, "rank")
+        .withColumn(name, F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col(before))
+        .select(*columns, name)
     )

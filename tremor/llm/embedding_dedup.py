@@ -2,11 +2,14 @@
 
 Every vector is described by its PREFIX nearest of P reference points, in order.  It is
 entered in the inverted list of each of these pivots (by label); two vectors are compared
-if they share at least SHARED pivots, and linked by their cosine in double precision.
-Equal vectors are one class with a count, so copies are never expanded into pairs.
-
-P grows with the rows, so lists keep their length; a longer list is cut into blocks, and
-every two blocks of it meet in a task of their own.  A pair is owned by its smallest
+if they share at least SHARED pivots whose places in the two orders differ by APART on
+average at most, and linked by their cosine in double precision.  Equal vectors are one
+class with a count, so copies are never expanded into pairs.
+
+P follows the rows up to MOST_PIVOTS, the bounded sample on which the index is fitted, so
+lists keep their length; a longer list is cut into blocks, and every two blocks of it meet
+in a task of their own: whatever the size, all vectors are indexed and no list is capped.
+exact=True puts all vectors of a label on one list instead, with all of its pairs.  A pair is owned by its smallest
 shared pivot, so its link is counted once.  A task gives back link counts and a spanning
 forest, not pairs.
 """
@@ -24,6 +27,8 @@ from .components import connected_components
 
 #: Nearest pivots that describe a vector, and how many two must share to be compared.
 PREFIX, SHARED = 12, 3
+#: Mean difference of the places of shared pivots, at most.
+APART = 5.0
 #: Vectors in a block of a list; lists aim at half of it.
 BLOCK = 512
 #: Pivots at most, drawn from a bounded sample of the vectors.
@@ -68,7 +73,7 @@ def _links(threshold: float, shared: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["pivot", "first", "second"], sort=False):
+        for _, g in pdf.groupby(["label", "pivot", "first", "second"], sort=False):
             g = g.sort_values("class")
             for _, same in g.groupby(g["vector"].map(len), sort=False):
                 out += one(same)
@@ -82,16 +87,27 @@ def _links(threshold: float, shared: int):
         codes, at = np.unique(near, return_inverse=True)
         has = np.zeros((len(g), len(codes)), np.float32)
         has[np.arange(len(g))[:, None], at.reshape(near.shape)] = 1
+        place = np.zeros((len(g), len(codes)), np.float32)
+        place[np.arange(len(g))[:, None], at.reshape(near.shape)] = np.arange(near.shape[1])
+
+        def owned(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Of pairs that share pivots enough, those this list owns, of like order and near enough."""
+            both = has[i] * has[j]
+            mine = np.flatnonzero(codes[np.argmax(both, axis=1)] == pivot)
+            i, j, both = i[mine], j[mine], both[mine]
+            apart = (np.abs(place[i] - place[j]) * both).sum(axis=1) <= APART * both.sum(axis=1)
+            near_enough = apart.copy()
+            near_enough[apart] = np.einsum("ij,ij->i", vector[i[apart]], vector[j[apart]]) >= threshold
+            return mine[near_enough]
+
         x, y = np.flatnonzero(part == first), np.flatnonzero(part == second)
         common = has[x] @ has[y].T >= shared
-        common &= (vector[x] @ vector[y].T) > threshold - 1e-6  # a first look, in blocks
         if first == second:
             common &= x[:, None] < y[None, :]
         i, j = np.nonzero(common)
         i, j = x[i], y[j]
-        both = has[i] * has[j]
-        owned = (codes[np.argmax(both, axis=1)] == pivot) & (np.einsum("ij,ij->i", vector[i], vector[j]) >= threshold)
-        i, j = i[owned], j[owned]
+        linked = np.concatenate([np.zeros(0, np.int64), *(a + owned(i[a : a + 65536], j[a : a + 65536]) for a in range(0, len(i), 65536))])
+        i, j = i[linked], j[linked]
         count = np.bincount(i, n[j], minlength=len(g)) + np.bincount(j, n[i], minlength=len(g))
         top = np.arange(len(g))
         forest = []
@@ -112,7 +128,7 @@ def _links(threshold: float, shared: int):
     return run
 
 
-def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefix: int = PREFIX, shared: int = SHARED, exact: bool = False) -> DataFrame:
     """One row for each row of embeddings (vec_id, embedding, label): vec_id, n_links,
     component_id, kept.
 
@@ -134,7 +150,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefi
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     size = classes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    p = int(min(MOST_PIVOTS, max(prefix, 2 * prefix * most // BLOCK + prefix)))
+    p = 1 if exact else int(min(MOST_PIVOTS, max(prefix, 2 * prefix * most // BLOCK + prefix)))
     # a bounded sample, by a hash of the vector
     sample = classes.where(F.size("vector") == size).orderBy(F.xxhash64("class"), "class").limit(p).select("vector").collect()
     pivots = _unit([r["vector"] for r in sample])
@@ -146,16 +162,18 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefi
         "near",
     )
     lists = near.withColumn("pivot", F.explode("near"))
-    length = lists.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = lists.join(length, ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("class", "pivot"), "blocks").cast("int"))
+    length = keep(lists.groupBy("label", "pivot").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lengths")
+    meetings = length.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0]
+    blocked = lists.join(length.drop("rows"), ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("class", "pivot"), "blocks").cast("int"))
     met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "class", "n", "vector", "near", "label", "pivot", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second")
     )
     tasks = max(shuffle_partitions(spark), 1)
-    bucket = F.pmod(F.xxhash64("label", "pivot", "first", "second"), F.lit(8 * tasks))
+    # buckets follow the work, so that one holds a few blocks however large the table is
+    bucket = F.pmod(F.xxhash64("label", "pivot", "first", "second"), F.lit(max(8 * tasks, meetings // (8 * BLOCK))))
     found = keep(
         met.withColumn("bucket", bucket)
-        .groupBy("label", "bucket")
+        .groupBy("bucket")
         .applyInPandas(_links(threshold, min(shared, width)), "a long, b long, links long"),
         "links",
     )

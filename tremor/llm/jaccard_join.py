@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bytehash import binary, mix, shingle_set, words
-from .common import doc_id_of, join_small, keep, row_key, shuffle_partitions, with_row_key
+from .common import doc_id_of, join_small, keep, shuffle_partitions, with_fresh_key, with_row_key
 from .components import connected_components
 
 U = np.uint64
@@ -292,31 +292,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     members, links = similar_sets(docs, k, percent)
     label = connected_components(links.where("linked").select("a", "b"))
-    class_of = members.where("n > 0").select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("class"))
-    rows = members.join(class_of, "node", "left")
-    least = rows.where("class is not null").groupBy("class").agg(F.min(doc_id_of()).alias("component_id"))
-    return rows.join(least, "class", "left").select(
-        doc_id_of().alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), doc_id_of()).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    worded = members.where("n > 0").join(label, "node", "left").select("k1", "n", F.coalesce("component", "node").alias("class"))
+    least = keep(worded.groupBy("class").agg(F.min(doc_id_of()).alias("component_id")), "least")
+    # a table on this side, so that a class of very many rows is split in the join
+    linked = worded.join(least, "class").select(doc_id_of().alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return linked.union(members.where("n = 0").select(doc_id_of().alias("doc_id"), F.col("n"), doc_id_of().alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates: the smallest doc_id's (of repeated
-    rows any one, as they are equal).  Rows without words and columns stay as they are."""
+    """docs with one row of each group of near duplicates: the smallest doc_id's (of rows that
+    agree in doc_id and text any one).  Rows without words and columns stay as they are; an
+    empty table stays empty; a very long text is one set like others."""
     members, links = similar_sets(docs, k, percent)
     label = connected_components(links.where("linked").select("a", "b"))
     rows = members.where("n > 0").join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
     order = F.struct((F.col("k1") == -(1 << 63)).alias("no_id"), "k1", "k2")
-    best = rows.groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("copies"))
-    first = rows.join(best, "class").where("copies > 1")
+    best = keep(rows.groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("copies")).where("copies > 1"), "best")
+    first = rows.join(best, "class")
     stays = (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
-    gone = keep(first.where(~stays).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "gone")
-    keyed = docs.withColumns({f"_{name}": key for name, key in row_key().items()})
-    rest = join_small(keyed, gone, ["_k1", "_k2"], "left_anti", 32)
-    again = keep(first.where(stays).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).count().where("count > 1").drop("count"), "again")
+    keyed, key = with_fresh_key(docs)
+    gone = keep(first.where(~stays).select("k1", "k2").distinct().toDF(*key), "gone")
+    rest = join_small(keyed, gone, key, "left_anti", 32)
+    again = keep(first.where(stays).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2").toDF(*key), "again")
     if not again.limit(1).count():
         return rest.select(*docs.columns)
-    repeated = join_small(rest, again, ["_k1", "_k2"], "left_semi", 32).dropDuplicates(["_k1", "_k2"])
-    return join_small(rest, again, ["_k1", "_k2"], "left_anti", 32).union(repeated).select(*docs.columns)
+    repeated = join_small(rest, again, key, "left_semi", 32).dropDuplicates(key)
+    return join_small(rest, again, key, "left_anti", 32).union(repeated).select(*docs.columns)

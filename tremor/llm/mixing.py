@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, numbered
+from .common import BROADCAST_BYTES, fresh, keep, numbered
 
 #: Texts in one flight.
-BLOCK = 20_000
+BLOCK = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
 
     size is the number of words; a null or empty text has size 0 and 0 copies; a null source
     is a source; ties of size go by a hash of the row; repeated rows are drawn one by one;
-    an empty table gives no rows; other columns of docs are not read.  Reruns agree, as all
+    a very long text is one size like others; an empty table gives no rows; other columns of docs are not read.  Reruns agree, as all
     draws are seeded by the rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -144,19 +144,32 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, seed: int = 0) -> DataFrame:
     """docs with each row as often as mix_sources takes it; columns as they are.
 
-    Rows are matched by doc_id, source and size; rows that agree in all three share their
-    copies by a hash of the text."""
-    rows = ("doc_id", "source", "size")
+    Rows are matched by doc_id, source and size (words).  Rows that agree in all three have
+    one share; where their copies do not divide evenly, the rows are numbered and the first
+    ones get one more, so the copies are exactly those of the mix.  Nulls match nulls; an
+    empty table stays empty; columns of any name are kept.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    mixed = mix_sources(docs, weights, cap, seed).select(*(F.col(c).alias(f"_{c}") for c in rows), "copies")
-    taken = keep(
-        mixed.groupBy(*(f"_{c}" for c in rows)).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "taken"
-    )
-    sized = docs.withColumn("_n", size)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    small = F.broadcast(taken) if taken.count() * 64 <= BROADCAST_BYTES else taken
-    met = sized.join(small, same)
-    turn = F.when(F.col("_rows") == 1, 0).otherwise(F.pmod(F.xxhash64("text"), "_rows"))
-    single = met.withColumn("_turn", turn)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") < F.col("_copies") % F.col("_rows")).cast("long")
-    return single.withColumn("_again", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
+    rank, words, copies, rows, uid, doc_id, source, of = fresh(docs.columns, "rank", "words", "copies", "rows", "uid", "id_of", "source_of", "size_of")
+    mixed = mix_sources(docs, weights, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    taken = keep(mixed.where(F.col(copies) > 0).select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("size").alias(of), copies, rows), "taken")
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(of))
+
+    def meet(some: DataFrame) -> DataFrame:
+        small = F.broadcast(some) if some.count() * 64 <= BROADCAST_BYTES else some
+        return docs.withColumn(words, size).join(small, same)
+
+    def repeat(found: DataFrame, times) -> DataFrame:
+        return found.withColumn(uid, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+
+    each, left = F.floor(F.col(copies) / F.col(rows)), F.col(copies) % F.col(rows)
+    out = repeat(meet(taken.where(left == 0)), each)
+    odd = taken.where(left > 0)
+    if not odd.limit(1).count():
+        return out
+    tied = keep(meet(odd).withColumn(uid, F.monotonically_increasing_id()), "tied")  # written, so ids do not change
+    ranked = keep(numbered(tied, doc_id, source, of, uid, name=rank), "tied")
+    a, b, c, least = fresh(ranked.columns, "tie_id", "tie_source", "tie_size", "least")
+    first = keep(ranked.groupBy(doc_id, source, of).agg(F.min(rank).alias(least)).toDF(a, b, c, least), "first")
+    turned = ranked.join(first, F.col(doc_id).eqNullSafe(F.col(a)) & F.col(source).eqNullSafe(F.col(b)) & (F.col(of) == F.col(c)))
+    return out.union(repeat(turned, each + (F.col(rank) - F.col(least) < left).cast("long")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import _LOWER, _SPACE, Ranges, binary, mix, slices
-from .common import doc_id_of, join_small, keep, row_key, with_row_key
+from .common import doc_id_of, join_small, keep, with_fresh_key, with_row_key
 
 U = np.uint64
 #: Most documents that train the scorer.
@@ -166,8 +166,8 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.
     x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
     w, square = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (p - y) / len(x) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -50, 50)))  # no copy of x in another precision
+        g = x.T @ (p - y).astype(x.dtype) / len(x) + l2 * w
         square += g * g
         w -= rate * 0.3 * g / np.sqrt(square)
     return w
@@ -210,7 +210,8 @@ def classify(docs: DataFrame) -> DataFrame:
     label's, score the scorer's probability of junk; a document is kept if its score is below
     REJECT.  Texts without words (null, empty) are not judged: score 0, kept.  Equal rows get
     equal results; a null doc_id is treated like others; an empty table gives no rows; other
-    columns of docs are not read.
+    columns of docs are not read.  Scores that tie with REJECT are rejected; a very long text is
+    measured as a whole, whatever its length.
     """
     spark = docs.sparkSession
     texts = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
@@ -236,9 +237,9 @@ def classify(docs: DataFrame) -> DataFrame:
         join_small(texts, chosen, ["k1", "k2"], "inner", 64)
         .select("k1", "posterior", "bytes")
         .mapInArrow(lambda b: _scored(b, ["k1", "posterior"], lambda x: x), "k1 long, posterior double, out binary")
-        .select("posterior", "out")
-        .orderBy("k1", "posterior", "out")
-        .limit(MAX_TRAIN)
+        .select("posterior", "out")  # MAX_TRAIN rows and equal ones of these
+        .orderBy("posterior", "out")
+        .limit(2 * MAX_TRAIN)
         .collect()
     )
     w = fit_scorer(np.stack([np.frombuffer(r["out"], np.float32) for r in rows]), np.array([r["posterior"] for r in rows]))
@@ -257,7 +258,6 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects; columns as they are."""
-    found = classify(docs)
-    rejected = keep(found.where(~F.col("kept")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "rejected")
-    keyed = docs.withColumns({f"_{name}": key for name, key in row_key().items()})
-    return join_small(keyed, rejected, ["_k1", "_k2"], "left_anti", 32).select(*docs.columns)
+    keyed, key = with_fresh_key(docs)
+    rejected = keep(classify(docs).where(~F.col("kept")).select("k1", "k2").distinct().toDF(*key), "rejected")
+    return join_small(keyed, rejected, key, "left_anti", 32).select(*docs.columns)

@@ -1,10 +1,11 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base patterns are matched in whole texts.  Besides, long mixed tokens are candidates: a
-value is counted over all documents (repositories) and sources (owners).  A value that
-many owners hold is a widely copied example; a random-looking value that EXAMPLE_OWNERS
-owners or more do not share looks live, and its further occurrences become spans of kind
-`owned`.  Base spans always stay; their values are sorted the same way.
+value is counted over all distinct texts (repositories) and sources (owners).  A value that
+EXAMPLE_OWNERS owners or EXAMPLE_REPOSITORIES repositories hold is a widely copied example;
+any other looks live if it looks random, and its further occurrences become spans of kind
+`owned`.  Base spans always stay; their values are sorted the same way.  A value that fills
+many different texts is boilerplate even if one owner has them all.
 """
 
 from __future__ import annotations
@@ -12,18 +13,22 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_of, join_small, keep, row_key, with_row_key
+from .common import doc_id_of, fresh, join_small, keep, with_fresh_key, with_row_key
 
 #: A value held by so many owners is an example.
 EXAMPLE_OWNERS = 3
-#: Bits a character of a candidate that no base pattern found.
-ENTROPY = 3.0
+#: Or by so many different texts.
+EXAMPLE_REPOSITORIES = 100
+#: Bits a character of a candidate that no base pattern found, and of a value that a base pattern found.
+ENTROPY, BASE_ENTROPY = 3.0, 2.0
 KINDS = ("assign", "access", "hex", "owned")
 #: Fixed patterns.
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -52,12 +57,13 @@ def _entropy(value: str) -> float:
 
 def long_tokens(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Further candidates: long tokens of letters and digits outside the base spans."""
-    out = []
+    out, starts, reach = [], [s for s, *_ in taken], list(accumulate((e for _, _, e, _ in taken), max))
     for m in _LONG.finditer(text):
         v = m[0]
         if not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)) or _entropy(v) < ENTROPY:
             continue
-        if all(m.end() <= s or e <= m.start() for s, _, e, _ in taken):
+        before = bisect_left(starts, m.end())  # spans that begin before the token ends
+        if not before or reach[before - 1] <= m.start():
             out.append((m.start(), 3, m.end(), v))
     return out
 
@@ -71,14 +77,14 @@ def _name(value: str) -> int:
 
 
 def _scan(batches):
-    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("random", pa.bool_())])
     for b in batches:
         counts, sha, found = [], [], []
         for text in b.column("text").to_pylist():
             base = base_spans(text)
             counts.append([sum(k == kind for _, k, _, _ in base) for kind in range(3)])
             sha.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-            found.append([{"start": s, "kind": k, "end": e, "value": _name(v)} for s, k, e, v in base + long_tokens(text, base)])
+            found.append([{"start": s, "kind": k, "end": e, "value": _name(v), "random": k == 3 or _entropy(v) >= BASE_ENTROPY} for s, k, e, v in base + long_tokens(text, base)])
         n = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays(
             [b.column("k1"), b.column("k2"), b.column("owner"), *n, pa.array(sha, pa.string()), pa.array(found, pa.list_(span))],
@@ -90,31 +96,27 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, n_assign, n_access, n_hex,
     base_sha256, spans, n_live, n_example, live (the spans that look live), and the row keys k1, k2.
 
-    A null or empty text has no spans; a null source is one owner of its own; equal and
-    repeated rows count as one repository; spans that start together go by kind; an empty
-    table gives no rows; other columns of docs are not read.
+    A null or empty text has no spans; a very long text is scanned in one pass; a null source
+    is one owner of its own; equal texts of an owner count as one repository; spans that start
+    together go by kind; an empty table gives no rows; other columns of docs are not read.
     """
     rows = with_row_key(docs.select("doc_id", "text", "source"))
     scanned = keep(
         rows.select("k1", "k2", F.coalesce("source", F.lit("\u0000null")).alias("owner"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
             _scan,
             "k1 long, k2 long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
-            "found array<struct<start:int,kind:int,end:int,value:long>>",
+            "found array<struct<start:int,kind:int,end:int,value:long,random:boolean>>",
         ),
         "scanned",
     )
     each = scanned.where(F.size("found") > 0).select("k1", "k2", "owner", F.explode("found").alias("f")).select("k1", "k2", "owner", "f.*")
-    frequency = (
-        each.groupBy("value", "owner", "k1")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("value", "owner")
-        .agg(F.count("*").alias("repositories"))
-        .groupBy("value")
-        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    )
+    held = each.groupBy("value", "owner", "k2").count()
+    frequency = held.groupBy("value", "owner").agg(F.count("*").alias("texts")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("texts").alias("repositories"))
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    examples = keep(frequency.where(example).select("value", F.lit(True).alias("example")), "examples")
     sorted_ = (
-        each.join(frequency, "value")
-        .withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
+        join_small(each, examples, ["value"], "left", 24)
+        .withColumn("live", F.col("random") & F.col("example").isNull())
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("start", "kind", "end", "live")).alias("all"))
     )
@@ -136,34 +138,36 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _redact(batches):
-    for b in batches:
-        out = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("_live").to_pylist(), strict=True):
-            if text is not None and spans:
-                parts, at = [], 0
-                for s in spans:  # sorted by start; overlapping ones are one
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], "[secret]"]
-                    at = max(at, s["end"])
-                text = "".join(parts) + text[at:]
-            out.append(text)
-        names = [n for n in b.schema.names if n != "_live"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names)
+def _redact(live: str):
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column("text").to_pylist(), b.column(live).to_pylist(), strict=True):
+                if text is not None and spans:
+                    parts, at = [], 0
+                    for s in spans:  # sorted by start; overlapping ones are one
+                        if s["start"] >= at:
+                            parts += [text[at : s["start"]], "[secret]"]
+                        at = max(at, s["end"])
+                    text = "".join(parts) + text[at:]
+                out.append(text)
+            names = [n for n in b.schema.names if n != live]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names)
+
+    return run
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every live-looking span replaced by [secret]; all columns and rows stay.
 
-    n_chars, if there is one, follows the new text; texts without such spans are unchanged.
+    n_chars, if there is one, follows the new text; texts without such spans are unchanged;
+    null texts stay null; columns of any name are kept; an empty table stays empty.
     """
-    found = keep(
-        scan_secrets(docs).where("n_live > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("live").alias("_live")).distinct(),
-        "live",
-    )
-    keyed = docs.withColumns({f"_{name}": key for name, key in row_key().items()})
-    cleaned = join_small(keyed, found, ["_k1", "_k2"], "left", 128).select(*docs.columns, "_live")
-    out = cleaned.mapInArrow(_redact, docs.schema)
+    keyed, key = with_fresh_key(docs)
+    (live,) = fresh(keyed.columns, "live")
+    found = keep(scan_secrets(docs).where("n_live > 0").select("k1", "k2", "live").distinct().toDF(*key, live), "live")
+    cleaned = join_small(keyed, found, key, "left", 128).select(*docs.columns, live)
+    out = cleaned.mapInArrow(_redact(live), docs.schema)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

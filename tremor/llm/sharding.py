@@ -8,15 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from .common import keep
+from .common import keep, numbered
 
 #: Fixed values of the published algorithm: x -> x * 2862933555777941757 + 1 modulo 2^64.
 _FACTOR = 2862933555777941757
 _LOW32 = (1 << 32) - 1
-#: Rows of a shard are numbered in so many parts by themselves.
-PARTS = 1024
 
 
 def _next(high: Column, low: Column) -> tuple[Column, Column]:
@@ -63,8 +59,9 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     The shard depends on doc_id and the number of shards only; a null doc_id is a key like
     others.  size is the UTF-8 length plus 1, a null text counting none; slot numbers the
-    rows of a shard from 0 without gaps, ordered by key hash, doc_id, checksum and size;
-    repeated rows get one shard and different slots; grown_shard is the shard with one
+    rows of a shard from 0 without gaps, ordered by key hash, doc_id, checksum and size (from
+    one sort by ranges, so a key that a third of the rows hold is split); repeated rows get
+    one shard and different slots; a very long text is a size like others; grown_shard is the shard with one
     shard more; an empty table gives no rows; other columns of docs are not read.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -73,13 +70,12 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         .withColumn("key", F.xxhash64("doc_id"))
         .withColumn("shard", jump_hash(F.col("key"), shards))
         .withColumn("grown_shard", jump_hash(F.col("key"), shards + 1))
-        .withColumn("part", F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(PARTS)).cast("int")),
+        .withColumn("row", F.monotonically_increasing_id()),  # tells equal rows apart; written, so it does not change
         "shards",
     )
-    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "part").count()
-    offset = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("shard", "part").orderBy("key", "doc_id", "text_crc32", "size")) - 1
-    return rows.join(F.broadcast(offset), ["shard", "part"]).select(  # at most shards * PARTS rows
-        "doc_id", "size", "text_crc32", "shard", (inside + F.col("before")).cast("long").alias("slot"), "grown_shard"
+    placed = numbered(rows, "shard", "key", "doc_id", "text_crc32", "size", "row")
+    begins = rows.groupBy("shard").agg(F.count("*").alias("n"))
+    ahead = begins.alias("a").join(begins.alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(ahead), "shard").select(  # a row for each shard
+        "doc_id", "size", "text_crc32", "shard", (F.col("rank") - 1 - F.col("before")).cast("long").alias("slot"), "grown_shard"
     )

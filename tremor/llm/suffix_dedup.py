@@ -209,14 +209,14 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
         ),
         "intervals",
     )
-    repeated = found.groupBy("name").count().where("count > 1").select("name")
+    repeated = keep(found.groupBy("name").count().where("count > 1").select("name"), "repeated")  # as a table, so that skewed names are split in the join
     shared = keep(found.join(repeated, "name"), "shared")
     forget(found)
     kinds = keep(_settle(shared, ["name", "w1", "w2"], F.count("*")), "kinds")
     equal = keep(shared.join(kinds.where("copies > 1").select("name", "w1", "w2"), ["name", "w1", "w2"]).select("k1", "k2", "lo", "hi"), "equal")
     forget(shared)
 
-    mixed = kinds.groupBy("name").count().where("count > 1").select("name")
+    mixed = keep(kinds.groupBy("name").count().where("count > 1").select("name"), "mixed")
     span = F.struct("name", "w1", "w2", "copies", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))
     open_ = kinds.join(mixed, "name").select("one.k1", "one.k2", span.alias("span")).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
     contexts = keep(

@@ -91,8 +91,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
 
     Vectors that are null, empty, or hold a null, an infinity or NaN take no part, on either
     side, nor do rows without vec_id; vectors meet those of their own length only; ties go to
-    the smaller vec_id; a vec_id that is repeated with one vector counts once; fewer rows
-    than k give all; empty tables give no rows; other columns are not read.
+    the smaller vec_id; repeated rows are candidates each, a repeated query is answered once,
+    and no row of its own vec_id is a candidate; fewer rows than k give all; empty tables give no rows; other columns are not read.
     """
 
     def whole(df: DataFrame) -> DataFrame:
@@ -102,11 +102,10 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
         return (
             df.where(v.isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.size(v) > 0) & F.col("vec_id").isNotNull())
             .select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-            .distinct()
             .withColumn("d", F.size("v"))
         )
 
-    vectors, asked = keep(whole(embeddings), "vectors"), keep(whole(queries), "queries")
+    vectors, asked = keep(whole(embeddings), "vectors"), keep(whole(queries).distinct(), "queries")
 
     def packed(df: DataFrame, size: int, block: str, ids: str, values: str) -> DataFrame:
         n = df.count()
@@ -115,8 +114,13 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
 
     blocks = keep(packed(asked, QUERY_BLOCK, "block", "query_ids", "queries"), "blocks")
     chunks = packed(vectors, CHUNK, "chunk", "vec_ids", "vectors")
-    n_blocks = F.sequence(F.lit(0), F.lit(max(0, -(-asked.count() // QUERY_BLOCK) - 1)))
-    met = chunks.withColumn("block", F.explode(n_blocks)).join(blocks, ["d", "block"]).select("queries", "query_ids", "vectors", "vec_ids")
+    count = lambda n, size: F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1))
+    # every chunk meets every block in a task of their own: dealt by both, whatever the number of either
+    met = (
+        chunks.withColumn("block", F.explode(count(asked.count(), QUERY_BLOCK)))
+        .join(blocks.withColumn("chunk", F.explode(count(vectors.count(), CHUNK))), ["d", "block", "chunk"])
+        .select("queries", "query_ids", "vectors", "vec_ids")
+    )
     local = met.mapInPandas(_meet(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
