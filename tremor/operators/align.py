@@ -31,14 +31,21 @@ def grid(psd: DataFrame, axis: str | None = None) -> DataFrame:
 
 
 def align(psd: DataFrame, axis: str | None = None) -> DataFrame:
-    """psd linearly interpolated onto the grid; exact at a session's own frequencies."""
-    w = W.partitionBy(*KEY).orderBy("freq")
-    between = psd.select(*KEY, F.col("freq").alias("f0"), F.col("psd").alias("p0"), F.lead("freq").over(w).alias("f1"), F.lead("psd").over(w).alias("p1"))
-    lerp = F.when(F.col("freq") == F.col("f0"), F.col("p0")).otherwise(
-        F.col("p0") + (F.col("p1") - F.col("p0")) / (F.col("f1") - F.col("f0")) * (F.col("freq") - F.col("f0"))
+    """psd linearly interpolated onto the grid; exact at a session's own frequencies.
+
+    A session's points and the grid's bins are ordered together, session by session, and a bin
+    looks for the points before and behind it; the grid is short (half a segment at most)."""
+    points = psd.select(*KEY, F.col("freq").alias("at"), F.lit(None).cast("int").alias("bin"), F.struct(F.col("freq").alias("f"), F.col("psd").alias("p")).alias("point"))
+    bins = grid(psd, axis).groupBy("capture_id").agg(F.collect_list(F.struct(F.col("freq").alias("at"), F.col("bin").cast("int").alias("bin"))).alias("bins"))
+    wanted = psd.select(*KEY).distinct().join(bins, "capture_id").select(*KEY, F.explode("bins").alias("b")).select(*KEY, "b.at", "b.bin", F.lit(None).cast("struct<f:double,p:double>").alias("point"))
+    w = W.partitionBy(*KEY).orderBy("at", F.col("bin").asc_nulls_first())
+    before = F.last("point", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    behind = F.first("point", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    near = points.union(wanted).withColumn("a", before).withColumn("b", behind).where("bin is not null")
+    lerp = F.when(F.col("at") == F.col("a.f"), F.col("a.p")).otherwise(
+        F.col("a.p") + (F.col("b.p") - F.col("a.p")) / (F.col("b.f") - F.col("a.f")) * (F.col("at") - F.col("a.f"))
     )
-    inside = "(freq >= f0 and freq < f1) or (f1 is null and freq = f0)"
-    return between.join(grid(psd, axis), "capture_id").where(inside).select(*KEY, "bin", "freq", lerp.alias("psd"))
+    return near.select(*KEY, "bin", F.col("at").alias("freq"), lerp.alias("psd"))
 
 
 def check_psd(psd: DataFrame) -> DataFrame:
@@ -50,15 +57,15 @@ def check_psd(psd: DataFrame) -> DataFrame:
     each = marked.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.count_if("same").alias("same"))
     row = each.agg(F.count("*").alias("spectra"), F.min("n").alias("n"), F.sum("bad").alias("bad"), F.sum("same").alias("same")).first()
     if not row.spectra:
-        raise ValueError("At least one session is required")
+        raise ValueError("no sessions to analyse")
     if row.n < 2:
-        raise ValueError("Frequency axis must contain at least two points")
+        raise ValueError("a spectrum has fewer than two frequencies")
     if row.bad:
-        raise ValueError("PSD must contain only finite non-negative values")
+        raise ValueError("a power is missing, not finite or negative")
     if row.same:
-        raise ValueError("Frequency must be strictly increasing")
+        raise ValueError("frequencies must rise")
     if common_range(psd).where("high <= low").count():
-        raise ValueError("Sessions have no common frequency range")
+        raise ValueError("the sessions share no range of frequencies")
     return psd
 
 

@@ -130,3 +130,9 @@ def find_peaks(stats: DataFrame, aligned: DataFrame, bands: DataFrame) -> DataFr
         "mean_session_frequency", "frequency_std_hz", "minimum_session_frequency", "maximum_session_frequency",
         F.col("floor").alias("local_noise_floor"), "local_snr_db", "prominence", "left_base", "right_base",
     )
+
+
+def ordered(peaks: DataFrame) -> DataFrame:
+    """peaks in order of capture, axis and bin, numbered from 1 within their axis."""
+    place = F.row_number().over(W.partitionBy("capture_id", "axis").orderBy("bin"))
+    return peaks.withColumn("place", place).orderBy("capture_id", "axis", "bin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .align import background
+from .align import background, first_band
 
 
 def spectrum_view(stats: DataFrame, peaks: DataFrame, bands: DataFrame) -> DataFrame:
@@ -14,6 +14,15 @@ def spectrum_view(stats: DataFrame, peaks: DataFrame, bands: DataFrame) -> DataF
     return background(stats, bands).join(marks, ["capture_id", "axis", "bin"], "left").withColumn("is_peak", F.coalesce("is_peak", F.lit(False)))
 
 
+def assembled_view(stats: DataFrame, peaks: DataFrame, bands: DataFrame) -> DataFrame:
+    """Every bin with its statistics, background, contrast, the thresholds of its first band and,
+    where it is a peak, the peak's diagnostics, bases and prominence."""
+    key = ["capture_id", "axis", "bin"]
+    limits = first_band(stats, bands).select(*key, F.col("band_ix").alias("first_band"), "min_stability", "min_snr_db")
+    told = peaks.drop("frequency", "amplitude").withColumnRenamed("band_ix", "peak_band")
+    return background(stats, bands).join(limits, key).join(told, key, "left").withColumn("is_peak", F.col("peak_band").isNotNull())
+
+
 def band_edges(bands: DataFrame) -> DataFrame:
     """The distinct edges of all bands, in order."""
     return bands.select(F.explode(F.array("min_frequency", "max_frequency")).alias("edge")).distinct().orderBy("edge")

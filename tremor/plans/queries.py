@@ -146,6 +146,12 @@ def queries() -> dict:
         "peaks_dedup": one(lambda r: r.found.select("axis", "bin", "band_ix", "frequency", "amplitude", *_r("window_power_stability", "local_snr_db", "prominence", digits=5))),
         "peak_labels": one(lambda r: view.peak_labels(r.found).select("axis", "bin", "label")),
         "spectrum_view": one(lambda r: view.spectrum_view(r.stats, r.found, r.bands).select("axis", "bin", "freq", "median", *_r("stability", "local_psd_contrast_db", digits=5), "is_peak")),
+        "peaks_ordered": one(lambda r: peaks.ordered(r.found).select("axis", "place", "bin", "frequency")),
+        "assembled_view": one(
+            lambda r: view.assembled_view(r.stats, r.found, r.bands).select(
+                "axis", "bin", "freq", "median", "first_band", "min_stability", "min_snr_db", "peak_band", *_r("window_power_stability", "frequency_std_hz", "local_snr_db", "prominence", digits=5), "left_base", "right_base", "is_peak"
+            )
+        ),
     }
 
 
@@ -286,6 +292,13 @@ FROM (SELECT CAST(label AS VARCHAR) AS axis, bin, count(*) AS sessions, median(p
         "peak_labels": "SELECT axis, bin, printf('%.1f Hz\nσf %.2f Hz\nSNR %.1f dB', frequency, frequency_std_hz, local_snr_db) AS label FROM found",
         "spectrum_view": """SELECT c.axis, c.bin, c.freq, c.median, round(c.stability, 5) AS stability, round(c.db, 5) AS local_psd_contrast_db, f.bin IS NOT NULL AS is_peak
 FROM contrast c LEFT JOIN found f ON f.axis = c.axis AND f.bin = c.bin""",
+        "peaks_ordered": "SELECT axis, CAST(row_number() OVER (PARTITION BY axis ORDER BY bin) AS INTEGER) AS place, bin, frequency FROM found",
+        "assembled_view": """SELECT c.axis, c.bin, c.freq, c.median, b.band_ix AS first_band, b.stab AS min_stability, b.snr AS min_snr_db, f.band_ix AS peak_band,
+  round(f.window_power_stability, 5) AS window_power_stability, round(f.frequency_std_hz, 5) AS frequency_std_hz, round(f.local_snr_db, 5) AS local_snr_db,
+  round(f.prominence, 5) AS prominence, p.left_base, p.right_base, f.bin IS NOT NULL AS is_peak
+FROM contrast c LEFT JOIN firstb t ON t.axis = c.axis AND t.bin = c.bin LEFT JOIN bands b ON b.band_ix = t.band_ix
+LEFT JOIN found f ON f.axis = c.axis AND f.bin = c.bin
+LEFT JOIN prom p ON p.axis = f.axis AND p.bin = f.bin AND p.band_ix = f.band_ix""",
     }
     interp = _sql("FROM psd").removesuffix("\nFROM psd") + jitter + """SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(bin AS INTEGER) AS bin, round(freq, 6) AS freq,
   round(CASE WHEN freq = f0 THEN p0 ELSE p0 + (p1 - p0) / (f1 - f0) * (freq - f0) END, 6) AS psd

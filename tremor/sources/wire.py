@@ -84,6 +84,7 @@ class _Replay(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.resync = options["path"], options.get("resync", "reference")
         self.most = int(options.get("packetsPerBatch", "1000"))
+        self.bytes = max(1 << 20, int(options.get("bytesPerBatch", str(16 << 20))))  # longer than any frame
 
     def initialOffset(self) -> dict:
         return {"byte": 0, "packet": 0}
@@ -91,7 +92,7 @@ class _Replay(SimpleDataSourceStreamReader):
     def _rows(self, start: dict, end: int | None):
         with open(self.path, "rb") as f:
             f.seek(start["byte"])
-            data = f.read() if end is None else f.read(end - start["byte"])
+            data = f.read(self.bytes) if end is None else f.read(end - start["byte"])
         rows, at, name = [], 0, Path(self.path).name
         for at_, p in frames(data, self.resync):
             at = at_
