@@ -54,7 +54,7 @@ def test_query_rows(spark, monkeypatch, size):
 def test_every_distinct_chunk_is_segmented_once(spark):
     rows = [(i, t) for i, t in enumerate(texts()[:150])]
     packed = spark.createDataFrame(rows, "k1 long, text string").repartition(5).mapInArrow(
-        sentencepiece_codec._pack(100), "batch long, k1 array<long>, n array<long>, chunks array<string>, places binary"
+        sentencepiece_codec._pack(100), "batch long, k1 array<long>, n array<long>, chunks binary, places binary"
     )
     packed = keep(packed)  # batches are as the scan deals them out
     n = packed.count()

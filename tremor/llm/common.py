@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -63,7 +64,7 @@ def keep(df: DataFrame, name: str = "part") -> DataFrame:
     with settings(
         spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=ARROW_BYTES
     ):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +78,15 @@ def forget(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def pack_bytes(x: bytes) -> bytes:
+    """Compressed bytes, for what travels in binary columns."""
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def unpack_bytes(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Column names that begin like these and are none of the taken ones, in whatever case."""
     used, out = {t.lower() for t in taken}, []

@@ -4,9 +4,9 @@ If no piece of a model has a whitespace marker after another character, no merge
 the start of a run of markers.  A text then falls into chunks, each a run of markers and
 the characters up to the next run, and every chunk has its own ids wherever it stands.
 
-1. Texts are packed, where they are read, into batches: the batch's distinct chunks in the
-   order of a checksum, and the places of its texts' chunks in that list.  Batches are
-   stored once, bucketed by batch, and never shuffled again.
+1. Texts are packed, where they are read, into batches: the batch's distinct chunks as they
+   first come, and the places of its texts' chunks in that list.  Batches are stored once,
+   bucketed by batch, and never shuffled again.
 2. Each batch sends its distinct chunks, not their occurrences, to the owners of checksum
    ranges.  An owner has the library segment each of its distinct chunks once, so a chunk
    is segmented once in the whole corpus, and answers every batch with ids.
@@ -18,22 +18,24 @@ A model with pieces that cross markers is applied to whole texts.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, doc_id_of, forget, keep, settings, shuffle_partitions
+from .common import ARROW_BYTES, doc_id_of, forget, keep, pack_bytes, settings, shuffle_partitions, unpack_bytes
 
 MARK = "▁"
 #: Chunks of texts in a batch; characters of texts that are encoded together when chunks are not used.
-BATCH_CHUNKS = 1 << 20
+BATCH_CHUNKS = 1 << 21
 TOGETHER = 1 << 20
 #: Distinct chunks, over batches, that an owner gets; every shuffle partition has SHARDS_A_PART owners at least.
 SHARD_CHUNKS = 1 << 19
@@ -79,8 +81,21 @@ def codec(model: str) -> Codec:
     return Codec(model)
 
 
-def _checksums(chunks: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in chunks], np.uint32)
+def _packed(parts: list[str]) -> bytes:
+    """Chunks or ids of chunks, none of which is empty or holds a space."""
+    return pack_bytes(" ".join(parts).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(x: bytes) -> list[str]:
+    text = unpack_bytes(x).decode("utf-8", "surrogatepass")
+    return text.split(" ") if text else []
+
+
+def _dealt(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of chunks by checksum, ties as they come, and the sorted checksums."""
+    sums = np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in chunks], np.uint32)
+    order = np.argsort(sums, kind="stable")
+    return order, sums[order]
 
 
 def _pack(most: int):
@@ -91,13 +106,9 @@ def _pack(most: int):
         k1, count, number, places = [], [], {}, []
 
         def row():
-            chunks = list(number)
-            sums = _checksums(chunks)
-            order = np.lexsort((np.arange(len(sums)), sums))
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
+            planes = np.array(places, "<u4").view(np.uint8).reshape(-1, 4).T  # high bytes by themselves are mostly zero
             found = [pa.array([(part << 24) + serial]), pa.array([k1], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))]
-            found += [pa.array([[chunks[i] for i in order]], pa.list_(pa.string())), pa.array([rank[np.array(places, np.int64)].tobytes()])]
+            found += [pa.array([_packed(list(number))]), pa.array([pack_bytes(planes.tobytes())])]
             return pa.RecordBatch.from_arrays(found, ["batch", "k1", "n", "chunks", "places"])
 
         for b in batches:
@@ -122,13 +133,13 @@ def _send(shards: int):
 
     def run(batches):
         for b in batches:
-            for batch, chunks in zip(b.column("batch").to_pylist(), b.column("chunks"), strict=True):
-                sums = _checksums(chunks.as_py())
-                cut = np.concatenate(([0], np.searchsorted(sums, cut_at), [len(sums)]))
+            for batch, packed in zip(b.column("batch").to_pylist(), b.column("chunks").to_pylist(), strict=True):
+                chunks = _unpacked(packed)
+                order, sums = _dealt(chunks)
+                cut = np.concatenate(([0], np.searchsorted(sums, cut_at), [len(chunks)]))
                 used = np.flatnonzero(np.diff(cut))
-                offsets = pa.array(np.append(cut[used], len(sums)), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, chunks.values)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), lists], ["shard", "batch", "chunks"])
+                parts = [_packed([chunks[i] for i in order[cut[s] : cut[s + 1]]]) for s in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), pa.array(parts, pa.binary())], ["shard", "batch", "chunks"])
 
     return run
 
@@ -136,16 +147,20 @@ def _send(shards: int):
 def _answer(model: str):
     """One owner: each distinct chunk is segmented once; ids for all chunks of all batches."""
 
-    def run(table: pa.Table) -> pa.Table:
-        lists = table.column("chunks").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        values = lists.flatten().dictionary_encode()
-        ids, backs = codec(model).segment(values.dictionary.to_pylist())
-        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
-        new = np.zeros(table.num_rows, np.int64)
-        new[0] = len(ids)  # segmentations, told once
-        answer = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.string()).take(values.indices))
-        return pa.table({"shard": table.column("shard"), "batch": table.column("batch"), "ids": answer(ids), "backs": answer(backs), "segmented": pa.array(new)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        number: dict[str, int] = {}
+        for packed in pdf["chunks"]:
+            for c in _unpacked(packed):
+                number.setdefault(c, len(number))
+        ids, backs = codec(model).segment(list(number))
+        changed = {c for c, b in zip(number, backs, strict=True) if b is not None}
+        answers, others = [], []
+        for packed in pdf["chunks"]:
+            chunks = _unpacked(packed)
+            answers.append(_packed([ids[number[c]] for c in chunks]))
+            others.append(json.dumps({k: backs[number[c]] for k, c in enumerate(chunks) if c in changed}) if changed else "{}")
+        segmented = [len(ids)] + [0] * (len(pdf) - 1)  # told once
+        return pd.DataFrame({"shard": pdf["shard"], "batch": pdf["batch"], "ids": answers, "backs": others, "segmented": segmented})
 
     return run
 
@@ -154,12 +169,19 @@ def _join_back(full: bool, decoded: bool):
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                chunks = b.column("chunks")[r].as_py()
-                answers = sorted(b.column("answers")[r].as_py() or [], key=lambda x: x["shard"])
-                ids = [i for a in answers for i in a["ids"]]
-                backs = [plain_of(c) if x is None else x for c, x in zip(chunks, (x for a in answers for x in a["backs"]), strict=True)]
+                chunks, answered, others = _unpacked(b.column("chunks")[r].as_py()), [], {}
+                for a in sorted(b.column("answers")[r].as_py() or [], key=lambda x: x["shard"]):
+                    others |= {len(answered) + int(k): x for k, x in json.loads(a["backs"]).items()}
+                    answered += _unpacked(a["ids"])
+                order = _dealt(chunks)[0].tolist()
+                ids, backs = [""] * len(chunks), [plain_of(c) for c in chunks] if decoded else []
+                for k, i in enumerate(order):
+                    ids[i] = answered[k]
+                for k, x in others.items() if decoded else ():
+                    backs[order[k]] = x
                 tokens = np.array([i.count(",") + 1 for i in ids], np.int64)
-                places = np.frombuffer(b.column("places")[r].as_buffer(), np.uint32)
+                planes = np.frombuffer(unpack_bytes(b.column("places")[r].as_py()), np.uint8).reshape(4, -1)
+                places = np.ascontiguousarray(planes.T).view("<u4").ravel()
                 ends = np.cumsum(np.array(b.column("n")[r].as_py(), np.int64))
                 total = np.concatenate(([0], np.cumsum(tokens[places]))) if len(places) else np.zeros(1, np.int64)
                 k1 = b.column("k1")[r].values
@@ -203,9 +225,9 @@ def _whole(model: str, full: bool):
 def segment_chunks(packed: DataFrame, model: str, n_batches: int) -> DataFrame:
     """shard, batch, ids, backs, segmented: the ids of every batch's distinct chunks, from one table."""
     shards = max(SHARDS_A_PART * shuffle_partitions(packed.sparkSession), n_batches * BATCH_CHUNKS // 4 // SHARD_CHUNKS)
-    messages = packed.select("batch", "chunks").mapInArrow(_send(shards), "shard long, batch long, chunks array<string>")
+    messages = packed.select("batch", "chunks").mapInArrow(_send(shards), "shard long, batch long, chunks binary")
     return keep(
-        messages.groupBy("shard").applyInArrow(_answer(model), "shard long, batch long, ids array<string>, backs array<string>, segmented long"), "segments"
+        messages.groupBy("shard").applyInPandas(_answer(model), "shard long, batch long, ids binary, backs string, segmented long"), "segments"
     )
 
 
@@ -218,7 +240,7 @@ def _encoded(docs: DataFrame, model: str, full: bool, decoded: bool) -> DataFram
         return rows.mapInArrow(_whole(model, full), schema)
     table = f"tremor_chunks_{uuid.uuid4().hex}"
     with settings(spark, spark_sql_execution_arrow_maxBytesPerBatch=ARROW_BYTES):
-        packed = rows.mapInArrow(_pack(BATCH_CHUNKS), "batch long, k1 array<long>, n array<long>, chunks array<string>, places binary")
+        packed = rows.mapInArrow(_pack(BATCH_CHUNKS), "batch long, k1 array<long>, n array<long>, chunks binary, places binary")
         packed.write.bucketBy(shuffle_partitions(spark), "batch").option("compression", "zstd").saveAsTable(table)
     try:
         stored = spark.table(table)
