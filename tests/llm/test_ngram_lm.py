@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from tremor.llm import ngram_lm
+from tremor.llm.common import pack_bytes
 from tremor.llm.elias_fano import EliasFano, NgramTrie, probability, quantise
 
 
@@ -119,7 +120,7 @@ def test_trie_answers_by_successor_search(spark, monkeypatch):
 
 def test_queries_go_through_the_trie(spark, monkeypatch):
     monkeypatch.setattr(NgramTrie, "lookup", lambda self, context, run, successor: np.zeros(len(successor), np.uint8))
-    pdf = pd.DataFrame({"shard": [0], "batch": [0], "contexts": [np.array([7], np.uint64).tobytes()], "context_totals": [np.array([4]).tobytes()], "runs": [np.array([1], np.uint32).tobytes()], "words": [np.array([9], np.uint64).tobytes()], "counts": [np.array([2], np.uint32).tobytes()]})
-    assert ngram_lm._answer(1)(pdf)["codes"][0] == b"\0"
+    pdf = pd.DataFrame({"shard": [0], "batch": [0], "contexts": [np.array([7], np.uint64).tobytes()], "context_totals": [pack_bytes(np.array([4]).tobytes())], "runs": [pack_bytes(np.array([1], np.uint32).tobytes())], "words": [np.array([9], np.uint64).tobytes()], "numbers": [pack_bytes(np.array([0], np.uint32).tobytes())], "counts": [pack_bytes(np.array([2], np.uint32).tobytes())]})
+    assert ngram_lm._answer(1)(pdf)["codes"][0] == pack_bytes(b"\0")
     monkeypatch.undo()
-    assert ngram_lm._answer(1)(pdf)["codes"][0] == quantise(np.log10(np.array([0.5]))).tobytes()
+    assert ngram_lm._answer(1)(pdf)["codes"][0] == pack_bytes(quantise(np.log10(np.array([0.5]))).tobytes())

@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import binary, mix, words
-from .common import ARROW_BYTES, doc_id_of, forget, keep, settings, shuffle_partitions, with_row_key
+from .common import ARROW_BYTES, doc_id_of, forget, keep, pack_bytes, settings, shuffle_partitions, unpack_bytes, with_row_key
 from .elias_fano import NgramTrie, probability
 
 U = np.uint64
-BATCH_TOKENS = 3 << 19
+BATCH_TOKENS = 5 << 18
 #: A shard gets about so many n-grams, and every shuffle partition has SHARDS_A_PART shards at least.
 SHARD_PAIRS = 1 << 20
-SHARDS_A_PART = 4
+SHARDS_A_PART = 2
 HOT_SHARE = 0.1
 PRIOR = 5.0
 MIN_TRIPLE = 2
@@ -118,17 +118,19 @@ class _Grams:
         for a, e in zip(cut[:-1], cut[1:], strict=True):
             start = _runs(self.context[a:e])
             u = self.context[a:e][start]
+            word, number = np.unique(self.word[a:e], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(self.shard[a])]),
                     pa.array([batch]),
                     pa.array([self.names[u].tobytes()]),
-                    pa.array([self.totals[u].tobytes()]),
-                    pa.array([np.diff(np.append(start, e - a)).astype(np.uint32).tobytes()]),
-                    pa.array([self.words[self.word[a:e]].tobytes()]),
-                    pa.array([count[a:e].tobytes()]),
+                    _packed(self.totals[u]),
+                    _packed(np.diff(np.append(start, e - a)).astype(np.uint32)),
+                    pa.array([self.words[word].tobytes()]),
+                    _packed(number.astype(np.uint32)),
+                    _packed(count[a:e]),
                 ],
-                ["shard", "batch", "contexts", "context_totals", "runs", "words", "counts"],
+                ["shard", "batch", "contexts", "context_totals", "runs", "words", "numbers", "counts"],
             )
 
 
@@ -165,6 +167,14 @@ class _Batch:
         return at, _Grams(pairs.of[at - 1] << 32 | self.place[at], name, counts, self.names, shards, limit)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([pack_bytes(x.tobytes())])
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(unpack_bytes(x), kind)
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Starts of runs of equal values."""
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
@@ -195,7 +205,7 @@ def _add_words(pdf: pd.DataFrame) -> pd.DataFrame:
     distinct, back = np.unique(name, return_inverse=True)
     total = np.bincount(back, count, minlength=len(distinct))
     cut = np.cumsum([len(x) // 8 for x in pdf["words"]])[:-1]
-    answers = [x.astype(np.int64).tobytes() for x in np.split(total[back], cut)]
+    answers = [pack_bytes(x.astype(np.int64).tobytes()) for x in np.split(total[back], cut)]
     out = pd.DataFrame({"shard": pdf["shard"], "batch": pdf["batch"], "totals": answers, "n": 0, "v": 0})
     out.loc[len(out)] = [int(pdf["shard"].iloc[0]), -1, b"", int(total.sum()), int((total > 0).sum())]
     return out
@@ -204,7 +214,7 @@ def _add_words(pdf: pd.DataFrame) -> pd.DataFrame:
 def _joined(b: pa.RecordBatch, r: int, column: str, field: str, kind) -> np.ndarray:
     """What all shards answered, in the order of the shards; nothing was asked where there is no answer."""
     found = sorted(b.column(column)[r].as_py() or [], key=lambda x: x["shard"])
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[field], kind) for x in found)])
+    return np.concatenate([np.zeros(0, kind), *(_unpacked(x[field], kind) for x in found)])
 
 
 def _send_pairs(shards: int, limit: float):
@@ -234,8 +244,10 @@ def _send_triples(shards: int, limit: float):
 def _answer(least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One shard: a trie of its training n-grams met `least` times, and codes and counts of all that were sent."""
-        joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
-        asked, run, successor = joined("contexts", U), joined("runs", np.uint32), joined("words", U)
+        joined = lambda name, kind: np.concatenate([_unpacked(x, kind) for x in pdf[name]])
+        asked, run = np.concatenate([np.frombuffer(x, U) for x in pdf["contexts"]]), joined("runs", np.uint32)
+        numbers = [_unpacked(x, np.uint32) for x in pdf["numbers"]]
+        successor = np.concatenate([np.frombuffer(w, U)[x] for w, x in zip(pdf["words"], numbers, strict=True)])
         contexts, at, of = np.unique(asked, return_index=True, return_inverse=True)
         names, number = np.unique(successor, return_inverse=True)
         key, back = np.unique(np.repeat(of, run).astype(U) << U(32) | number.astype(U), return_inverse=True)
@@ -244,9 +256,9 @@ def _answer(least: int):
         ix, word = (key[seen] >> U(32)).astype(np.int64), names[(key[seen] & U(0xFFFFFFFF)).astype(np.int64)]
         trie = NgramTrie(contexts, joined("context_totals", np.int64)[at], ix, word, count[seen])
         code = trie.lookup(asked, run, successor)
-        cut = np.cumsum([len(x) // 8 for x in pdf["words"]])[:-1]
-        out = pd.DataFrame({"shard": pdf["shard"], "batch": pdf["batch"], "codes": [x.tobytes() for x in np.split(code, cut)]})
-        return out.assign(counts=[x.tobytes() for x in np.split(count[back], cut)] if least == 1 else None)
+        cut = np.cumsum([len(x) for x in numbers])[:-1]
+        out = pd.DataFrame({"shard": pdf["shard"], "batch": pdf["batch"], "codes": [pack_bytes(x.tobytes()) for x in np.split(code, cut)]})
+        return out.assign(counts=[pack_bytes(x.tobytes()) for x in np.split(count[back], cut)] if least == 1 else None)
 
     return run
 
@@ -299,7 +311,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
     """
     spark = docs.sparkSession
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    message = "shard long, batch long, contexts binary, context_totals binary, runs binary, words binary, counts binary"
+    message = "shard long, batch long, contexts binary, context_totals binary, runs binary, words binary, numbers binary, counts binary"
     answer = "shard long, batch long, codes binary, counts binary"
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     texts = with_row_key(docs.select("doc_id", "text")).select("k1", held.alias("held"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
@@ -332,9 +344,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
         limit = max(1.0, HOT_SHARE * n / shards)
         known = stored.join(back(words_.where("batch >= 0"), "word_answers", "totals"), "batch")
         pairs = asked(known.mapInArrow(_send_pairs(shards, limit), message), 1, "pairs")
-        known = known.join(back(pairs, "pair_answers", "codes", "counts"), "batch")
-        triples = asked(known.mapInArrow(_send_triples(shards, limit), message), MIN_TRIPLE, "triples")
-        known = known.join(back(triples, "triple_answers", "codes"), "batch", "left")
+        counted = known.join(back(pairs, "pair_answers", "counts"), "batch")
+        triples = asked(counted.mapInArrow(_send_triples(shards, limit), message), MIN_TRIPLE, "triples")
+        known = known.join(back(pairs, "pair_answers", "codes", "counts"), "batch").join(back(triples, "triple_answers", "codes"), "batch", "left")
         scored = keep(
             known.mapInArrow(
                 _score(shards, limit, n, v),
