@@ -87,6 +87,31 @@ reach AS (SELECT id, id AS low FROM nodes
 low AS (SELECT id, min(low) AS component FROM reach GROUP BY id)
 """
 
+def _repeats_sql(length: int, widest: int) -> str:
+    """Names of the byte strings at each place, doubled up to `widest` bytes; two overlapping ones name `length` bytes."""
+    ahead = [1 << k for k in range(widest.bit_length() - 1)] + [length - widest]
+    place = "WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
+    named = "".join(
+        f"s{k + 1} AS (SELECT doc_id, n, i, x, hash(h, lead(h, {step}) OVER w) AS h FROM s{k} {place}),\n" for k, step in enumerate(ahead)
+    )
+    return f"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS (SELECT doc_id, octet_length(b) AS n, regexp_extract_all(hex(b), '..') AS x FROM texts),
+places AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(x) AS x FROM bytes),
+s0 AS (SELECT doc_id, n, i, x, hash(x) AS h FROM places),
+{named}starts AS (SELECT doc_id, i, x, i + {length} <= n AND count(*) OVER (PARTITION BY h, i + {length} <= n) > 1 AS again FROM s{len(ahead)}),
+covered AS (SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS {length - 1} PRECEDING) AS gone FROM starts),
+runs AS (SELECT doc_id, i, x, gone, gone AND NOT coalesce(lag(gone) OVER w, false) AS begins FROM covered {place}),
+cut AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
+        FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+"""
+
+
+OP2_SQL = _repeats_sql(400, 256)
+
 OP4_SQL = (
     r"""
 WITH RECURSIVE words AS (
@@ -138,4 +163,4 @@ FROM p QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_topk_search": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_topk_search": OP10_SQL}
