@@ -1,8 +1,11 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
+from tremor.llm.queries import OP7_SQL
 from tremor.llm.secret_scan import EXAMPLE_REPOSITORIES, base_spans, long_tokens, redact_secrets, scan_secrets
 
 
@@ -79,3 +82,16 @@ def test_redaction(spark):
     assert by[0].text == "é [secret]' end" and by[0].n_chars == len(by[0].text)
     assert "EXAMPLE" in by[8].text and KEY not in by[1].text
     assert redact_secrets(docs.limit(0)).collect() == []
+
+
+def test_against_the_sql(spark):
+    """The query's SQL over values of every kind: owned spans, examples by owners and by repositories."""
+    docs = [r[:3] for r in rows()[:-2]]
+    docs += [(1000 + i, f"text {i} secret: Kq7{'xZ' * 4}91ab", "one") for i in range(EXAMPLE_REPOSITORIES)]
+    docs += [(2000, f"{KEY} token={KEY} {KEY}-x", "two"), (2001, "password: aaaaaaaaaaaa", "two"), (2002, f"token=é {KEY}", "two"), (2003, "no source secret=short1 secret=abcdefgh1", None)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    got = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).drop("live", "k1", "k2")
+    assert compare(got, c, OP7_SQL) == ""
+    assert got.where("spans like '%owned%'").count() >= 3 and got.where("n_example > 0").count() > EXAMPLE_REPOSITORIES

@@ -1,8 +1,11 @@
 import zlib
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
+from tremor.llm.queries import OP6_SQL
 from tremor.llm.sharding import assign_shards, jump_hash
 
 
@@ -41,3 +44,12 @@ def test_shards(spark):
 def test_no_python_in_the_plan(spark):
     plan = assign_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_against_the_sql(spark):
+    docs = [(d, t) for d, t in zip([0, 1, -1, -(1 << 63), (1 << 63) - 1, *range(2, 400)], [None, "", "é\n", "\x00a", "𝄞" * 50, *(f"text {i}" * (i % 7) for i in range(398))], strict=True)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = assign_shards(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("law", F.lit("key"))
+    assert compare(got, c, OP6_SQL) == ""

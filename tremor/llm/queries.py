@@ -162,5 +162,116 @@ FROM p QUALIFY rank <= 10
 """
 
 
+def _spans_sql(kind: int, pattern: str, value: str = "m") -> str:
+    """Matches of a pattern in all texts; what lies between them gives their places."""
+    return f"""SELECT doc_id, {kind} AS kind, unnest(p) AS p, unnest(m) AS m, unnest({value}) AS v, unnest(range(len(p))) AS i
+     FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m,
+                  regexp_extract_all(t, '{pattern}', {0 if value == "m" else 1}) AS g FROM texts)"""
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Fixed pattern: each letter of the keywords in either case, without the folding of letters beyond ASCII.
+_ASSIGN_SQL = (
+    "(?:" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+    + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+OP7_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+cut AS (
+  {_spans_sql(0, _ASSIGN_SQL, "g")}
+  UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]+")}
+  UNION ALL {_spans_sql(2, "[0-9a-f]+")}
+  UNION ALL {_spans_sql(3, "[A-Za-z0-9+/_-]+")}),
+placed AS (
+  SELECT doc_id, kind, v, m, sum(length(p) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS until FROM cut),
+spans AS (
+  SELECT doc_id, kind, CAST(until - length(m) AS BIGINT) AS a, CAST(until AS BIGINT) AS b, v FROM placed
+  WHERE length(v) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 20 END
+    AND (kind < 3 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
+letters AS (
+  SELECT v, count(*) / length(v) AS share FROM (SELECT v, unnest(string_split(v, '')) AS c FROM (SELECT DISTINCT v FROM spans)) GROUP BY v, c),
+bits AS (SELECT v, -sum(share * log2(share)) AS bits FROM letters GROUP BY v),
+found AS (
+  SELECT s.*, bits >= 2 AS random FROM spans s JOIN bits USING (v)
+  WHERE kind < 3 OR bits >= 3 AND NOT EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.kind < 3 AND o.a < s.b AND s.a < o.b)),
+held AS (SELECT DISTINCT v, coalesce(source, chr(0) || 'null') AS owner, t FROM found JOIN texts USING (doc_id)),
+frequency AS (SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories FROM held GROUP BY v),
+kept AS (
+  SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || a || ':' || b AS said FROM (
+    SELECT doc_id, kind, a, b, random AND owners < 3 AND repositories < 100 AS live FROM found JOIN frequency USING (v))
+  WHERE kind < 3 OR live),
+joined AS (
+  SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex,
+         string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY a, kind) AS spans,
+         count_if(live) AS n_live, count_if(NOT live) AS n_example
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
+
+def _wrap(x: str) -> str:
+    """Modulo 2^64."""
+    return f"CAST(({x}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _times(x: str, y: int) -> str:
+    return _wrap(f"{x}::UHUGEINT * {y}::UHUGEINT")
+
+
+def _turned(x: str, by: int) -> str:
+    return _wrap(f"{x}::UHUGEINT * {1 << by}::UHUGEINT + ({x} >> {64 - by})")
+
+
+#: The primes of the 64-bit xxHash, its seed in Spark, the polynomial of CRC-32 and the factor of the jump hash.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_XX_SEED, _CRC, _JUMP = 42, 3988292384, 2862933555777941757
+
+_X0 = _wrap(f"{_times('s', _P1)}::UHUGEINT + {_P4}::UHUGEINT")
+OP6_SQL = f"""
+WITH RECURSIVE crc_steps AS (
+  SELECT v, v AS c, 0 AS n FROM range(256) r(v)
+  UNION ALL SELECT v, xor(c >> 1, (c & 1) * {_CRC}), n + 1 FROM crc_steps WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY v) AS steps FROM crc_steps WHERE n = 8),
+texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sums AS (
+  SELECT doc_id, octet_length(b) + 1 AS size, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]))) AS text_crc32
+  FROM texts, crc_table),
+h1 AS (SELECT doc_id, {_times('((doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616)', _P2)} AS s FROM documents),
+h2 AS (SELECT doc_id, {_turned('s', 31)} AS s FROM h1),
+h3 AS (SELECT doc_id, xor({(_XX_SEED + _P5 + 8) % (1 << 64)}::UBIGINT, {_times('s', _P1)}) AS s FROM h2),
+h4 AS (SELECT doc_id, {_turned('s', 27)} AS s FROM h3),
+h5 AS (SELECT doc_id, {_X0} AS s FROM h4),
+h6 AS (SELECT doc_id, {_times('xor(s, s >> 33)', _P2)} AS s FROM h5),
+h7 AS (SELECT doc_id, {_times('xor(s, s >> 29)', _P3)} AS s FROM h6),
+keys AS (SELECT doc_id, xor(s, s >> 32) AS key FROM h7),
+jumps AS (
+  SELECT doc_id, key AS x, -1::BIGINT AS b, 0::BIGINT AS j, 0 AS n FROM keys
+  UNION ALL
+  SELECT doc_id, x, j, CAST(floor((j + 1) * (2147483648::DOUBLE / ((x >> 33) + 1)::DOUBLE)) AS BIGINT), n FROM (
+    SELECT doc_id, {_wrap(f'x::UHUGEINT * {_JUMP}::UHUGEINT + 1')} AS x, j, n + 1 AS n FROM jumps WHERE j < 9)),
+shards AS (SELECT doc_id, max(b) FILTER (b < 8) AS shard, max(b) AS grown_shard FROM jumps GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY key >= 9223372036854775808 DESC, key, doc_id) - 1 AS BIGINT) AS slot,
+       CAST(grown_shard AS INTEGER) AS grown_shard
+FROM sums JOIN keys USING (doc_id) JOIN shards USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_topk_search": OP10_SQL}
+    return {
+        "op2_suffix_dedup": OP2_SQL,
+        "op4_jaccard_join": OP4_SQL,
+        "op5_embedding_dedup": OP5_SQL,
+        "op6_sharding": OP6_SQL,
+        "op7_secret_scan": OP7_SQL,
+        "op10_topk_search": OP10_SQL,
+    }
