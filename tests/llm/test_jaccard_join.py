@@ -1,6 +1,7 @@
 import random
 import re
 
+from tremor.llm import jaccard_join
 from tremor.llm.jaccard_join import Scheme, drop_near_duplicates, near_duplicates
 
 
@@ -58,6 +59,24 @@ def test_against_brute_force(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_large_groups_meet_block_by_block(spark, monkeypatch):
+    """Chains whose ends differ too much for the member compared first: groups of many components, in blocks of 2."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    r = random.Random(7)
+    rows, base = [], [f"w{i}" for i in range(60)]
+    for i in range(60):
+        words = list(base)
+        for at in range(3 * (i % 20), 3 * (i % 20) + 3 * (i // 20) + 3):
+            words[at % 60] = f"x{at % 60}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([*base[:50], *(f"y{r.randrange(30)}" for _ in range(12))])) for i in range(40)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(corpus(5)[:200])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((1, 85), (1, 60)):
+        got = [tuple(x) for x in near_duplicates(docs, k, percent).collect()]
+        assert sorted(got) == sorted(brute(rows, k, percent))
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

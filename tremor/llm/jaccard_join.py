@@ -42,6 +42,8 @@ HEAD = 16
 #: Sets of up to so many shared segments carry 16-bit names of these, which rule out most pairs where they would
 #: be made; those of more meet without and are sorted out by their whole lists.
 SHORT_NAMES = 256
+#: Members of one signature that meet in one task; a larger group meets block by block.
+BLOCK = 512
 
 
 def _band_edges(most: int) -> list[int]:
@@ -182,6 +184,15 @@ def _verify(percent: int):
     return run
 
 
+def _dealt(members: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows of members (sig, node, blocks, ..) once for each block they meet: own is theirs, other the one met.
+
+    A group of g members costs g * g / BLOCK rows in place of one task with g * g comparisons.
+    """
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return members.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
 def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links) of docs (doc_id, text).
 
@@ -242,9 +253,9 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "links")
 
-    def second_side(df: DataFrame, *more: str) -> DataFrame:
+    def second_side(df: DataFrame, *more: str, blocks: tuple[str, ...] = ()) -> DataFrame:
         names = {"node": "other", **{c: f"{c}2" for c in ("n", "less", "own", *more)}}
-        return df.select("sig", *(F.col(c).alias(t) for c, t in names.items()))
+        return df.select("sig", *blocks, *(F.col(c).alias(t) for c, t in names.items()))
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (node, other, band, slack, need) that have enough segments in common."""
@@ -265,7 +276,12 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     links = compare(first)
     label = connected_components(links.where("linked"))
     placed = keep(groups.drop("weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    split = (
+        placed.groupBy("sig")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        .where("x <> y")
+        .select("sig", "blocks")
+    )
     rest = keep(placed.join(split, "sig").join(lists.select("node", "band", "head", "names"), ["node", "band"], "left"), "rest")
     # both sets order their segments alike, so what they have in common from their first meeting on is all
     # they have; later meetings go where a head, of bounded length, shows an earlier one
@@ -273,7 +289,8 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     # equal segments have equal short names, of which a set has of - size(names) fewer than segments
     may_share = f"(size(names) = 0 or size(names2) = 0 or size(array_intersect(names, names2)) + of - size(names) >= {need})"
     second = promising(
-        rest.join(second_side(rest, "component", "rank", "of", "head", "names"), "sig")
+        _dealt(rest, "i", "j")
+        .join(second_side(_dealt(rest, "j", "i"), "component", "rank", "of", "head", "names", blocks=("i", "j")), ["sig", "i", "j"])
         .where(f"node < other and component <> component2 and {fits} and (slack = 0 or {meets} and {may_share})")
         .select(*pair)
         .distinct()
