@@ -73,9 +73,8 @@ def slices(at: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _segment(buf: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and fingerprints of the words of a buffer; words also end where a row starts."""
-    buf = _LOWER[buf]
+def _bounds(buf: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer; words also end where a row starts."""
     word = ~_SPACE[buf]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -83,18 +82,23 @@ def _segment(buf: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.nda
     inner = starts_at[(starts_at > 0) & (starts_at < len(buf))]
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return s, Ranges(buf).of(s, e)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs i..j of rows: i, j, fingerprints of their words [^\\x20\\x09-\\x0D]+ with A-Z
-    lower-cased, and n + 1 offsets into these.  A row longer than a slice is cut between words."""
+def _segment(buf: np.ndarray, starts_at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the words of a buffer."""
+    s, e = _bounds(buf, starts_at)
+    return s, Ranges(_LOWER[buf] if fold else buf).of(s, e)
+
+
+def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs i..j of rows: i, j, fingerprints of their words [^\\x20\\x09-\\x0D]+ (A-Z
+    lower-cased if fold), and n + 1 offsets into these.  A row longer than a slice is cut between words."""
     for i, j in slices(at):
         lo, hi = int(at[i]), int(at[j])
         if hi - lo <= 2 * SLICE or j > i + 1:
             rows = at[i : j + 1] - lo
-            s, h = _segment(data[lo:hi], rows)
+            s, h = _segment(data[lo:hi], rows, fold)
             yield i, j, h, np.searchsorted(s, rows)
             continue
         found = []
@@ -103,12 +107,25 @@ def words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarr
             while end < hi and not _SPACE[data[end]]:
                 gap = np.flatnonzero(_SPACE[data[end : end + SLICE]])
                 end = end + int(gap[0]) if len(gap) else min(end + SLICE, hi)
-            found.append(_segment(data[lo:end], np.zeros(0, np.int64))[1])
+            found.append(_segment(data[lo:end], np.zeros(0, np.int64), fold)[1])
             lo = end
         h = np.concatenate(found)
         yield i, j, h, np.array([0, len(h)])
 
 
+def window_hashes(h: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+    """Rabin-Karp hashes of every `length` neighbouring word fingerprints, in order."""
+    n = len(h) - length + 1
+    out = np.zeros(max(0, n), dtype=U)
+    for a in range(0, n, SLICE):
+        e = min(n, a + SLICE)
+        power, inverse = _powers(e - a + length, family)
+        sums = np.zeros(e - a + length, dtype=U)
+        np.cumsum(h[a : e + length - 1] * power[: e - a + length - 1], out=sums[1:])
+        out[a:e] = mix((sums[length:] - sums[:-length]) * inverse[: e - a])
+    return out
+
+
 def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     """The distinct k-word shingles of a text as sorted 64-bit values; a shorter text is one."""
     if not len(h):

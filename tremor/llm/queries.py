@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, mixing, ngram_lm, quality, secret_scan, sentencepiece_codec, sharding, suffix_dedup, topk_search
+from . import (
+    embedding_dedup,
+    hard_negatives,
+    jaccard_join,
+    mixing,
+    ngram_lm,
+    passage_dedup,
+    quality,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    suffix_dedup,
+    topk_search,
+    whitening,
+)
+from .common import keep
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +78,22 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(embeddings, embeddings.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = keep(hard_negatives.labelled(_read(spark, sf_dir, "embeddings").withColumn("label", moved), scale=256), "rows")
+    return hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"), positives=5, negatives=3)
+
+
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passage_dedup.remove_passages(_read(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_read(spark, sf_dir, "embeddings"), scale=256, components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -77,6 +108,9 @@ def queries() -> dict:
             op8_quality,
             op9_ngram_lm,
             op10_topk_search,
+            op11_hard_negatives,
+            op12_passage_dedup,
+            op13_whitening,
         )
     }
 
@@ -162,6 +196,40 @@ FROM p QUALIFY rank <= 10
 """
 
 
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN p USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM words),
+windows AS (SELECT doc_id, unnest(range(len(w) - 49)) AS i, unnest(list_transform(range(len(w) - 49), lambda i: array_to_string(w[i + 1:i + 50], ' '))) AS s
+            FROM words WHERE len(w) >= 50),
+later AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS again FROM windows),
+gone AS (
+  SELECT p.doc_id, p.i, p.x, coalesce(bool_or(again) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS 49 PRECEDING), false) AS gone
+  FROM places p LEFT JOIN later l ON p.doc_id = l.doc_id AND p.i = l.i),
+cut AS (SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN cut USING (doc_id)
+"""
+
+
 def _spans_sql(kind: int, pattern: str, value: str = "m") -> str:
     """Matches of a pattern in all texts; what lies between them gives their places."""
     return f"""SELECT doc_id, {kind} AS kind, unnest(p) AS p, unnest(m) AS m, unnest({value}) AS v, unnest(range(len(p))) AS i
@@ -274,4 +342,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": OP6_SQL,
         "op7_secret_scan": OP7_SQL,
         "op10_topk_search": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_passage_dedup": OP12_SQL,
     }
