@@ -113,13 +113,13 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> Iterator[tuple
         yield i, j, h, np.array([0, len(h)])
 
 
-def window_hashes(h: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Rabin-Karp hashes of every `length` neighbouring word fingerprints, in order."""
     n = len(h) - length + 1
     out = np.zeros(max(0, n), dtype=U)
     for a in range(0, n, SLICE):
         e = min(n, a + SLICE)
-        power, inverse = _powers(e - a + length, family)
+        power, inverse = _powers(e - a + length, 1)
         sums = np.zeros(e - a + length, dtype=U)
         np.cumsum(h[a : e + length - 1] * power[: e - a + length - 1], out=sums[1:])
         out[a:e] = mix((sums[length:] - sums[:-length]) * inverse[: e - a])

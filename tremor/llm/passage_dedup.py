@@ -4,98 +4,81 @@
    over the words' fingerprints.  Inside an Arrow batch, of the documents that hold a window
    only the one of the smallest id has to ask about it; for the others the answer is known,
    so a passage that a third of all texts share is one question a batch, not one a text.
-2. Spark deals the questions by hash and compares each with the smallest document that holds
-   the same window.  A question is a row of four longs; nothing else of a window is shuffled.
-3. Windows found in an earlier document merge into maximal runs of words, which go.
+2. Spark deals the questions, two longs each, by hash and compares each with the smallest
+   document that holds the same window.  The later documents get their hashes back.
+3. Texts that got some roll their windows again; windows found in an earlier document merge
+   into maximal runs of words, which go.
 
-A window is named by 64 bits of one hash and 16 of a second one: at 10^10 windows (30 GB of
-text) about one chance in 20,000 that any two different ones share a name.  Nothing is
-capped or sampled.
+Windows are equal when their 64-bit hashes are: among 7 * 10^9 windows (30 GB of text) about
+one pair of different ones is expected to share a hash.  Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .bytehash import _SPACE, _bounds, binary, mix, slices, window_hashes, words
+from .bytehash import _SPACE, _bounds, binary, slices, window_hashes, words
 from .common import doc_id_of, keep, with_row_key
 
 U, _I = np.uint64, np.int64
-#: A place has the first window in its low bits; above them a question has bits of its second
-#: hash, a run whose answer is known the number of its windows, and _KNOWN.
-_LOW, _MORE = 40, 16
-_KNOWN = 1 << 62
-_LONGEST = 1 << 20
 
 
-def _runs(row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window and number of windows of each run of neighbouring windows (sorted by row, lo)."""
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + 1)
-    new |= lo % _LONGEST == 0
-    at = np.flatnonzero(new)
-    return row[at], lo[at], np.diff(np.append(at, len(row)))
+def _windows(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs i..j of rows: i, j, the hashes of their windows, n + 1 offsets into these."""
+    for i, j, h, offset in words(data, at, fold=False):
+        many = np.maximum(0, np.diff(offset) - length + 1)
+        end = np.concatenate(([0], np.cumsum(many)))
+        of = np.repeat(offset[:-1] - end[:-1], many) + np.arange(end[-1])
+        yield i, j, (window_hashes(h, length)[of] if len(of) else np.zeros(0, U)), end
 
 
 def _questions(length: int):
-    """h, k1, k2, place: a row for each window that no smaller document of its batch holds, and one
-    for each run of windows that such a document holds (under a hash of its place, as nobody has to
-    compare it)."""
+    """h, k1, known: a row for each different window of a batch with the smallest document that
+    holds it; and for every larger document of the batch a row with known, the window's hash
+    (its h is of the document, as nobody has to compare it)."""
 
     def run(batches):
         for b in batches:
             data, at = binary(b.column("bytes"))
-            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            hashes, seconds, rows, places = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, _I)], [np.zeros(0, _I)]
-            for i, j, h, offset in words(data, at, fold=False):
-                many = np.maximum(0, np.diff(offset) - length + 1)
-                total = int(many.sum())
-                if total:
-                    lo = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-                    of = np.repeat(offset[:-1], many) + lo
-                    hashes.append(window_hashes(h, length)[of])
-                    seconds.append(window_hashes(h, length, 1)[of] >> U(64 - _MORE))
-                    rows.append(np.repeat(np.arange(i, j), many))
-                    places.append(lo)
-            h, second, row, lo = (np.concatenate(x) for x in (hashes, seconds, rows, places))
+            k1 = b.column("k1").to_numpy()
+            hashes, rows = [np.zeros(0, U)], [np.zeros(0, _I)]
+            for i, j, h, end in _windows(data, at, length):
+                hashes.append(h)
+                rows.append(np.repeat(np.arange(i, j), np.diff(end)))
+            h, row = np.concatenate(hashes), np.concatenate(rows)
             rank = np.unique(k1, return_inverse=True)[1][row]  # of the row's id among the batch's
             if np.any(rank[1:] < rank[:-1]):
                 by_id = np.argsort(rank, kind="stable")
-                h, second, row, lo, rank = (x[by_id] for x in (h, second, row, lo, rank))
+                h, row, rank = h[by_id], row[by_id], rank[by_id]
             order = np.argsort(h, kind="stable")
-            new = np.ones(len(h), bool)
-            new[1:] = (h[order[1:]] != h[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-            known = np.zeros(len(h), bool)
+            new, later = np.ones(len(h), bool), np.zeros(len(h), bool)
+            new[1:] = h[order[1:]] != h[order[:-1]]
             if len(h):
-                known[order] = rank[order] > rank[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-            known_row, known_lo = row[known], lo[known]
-            again = np.lexsort((known_lo, known_row))
-            run_row, run_lo, run_n = _runs(known_row[again], known_lo[again])
-            asked = ~known
+                first = rank[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+                later = (rank[order] > first) & (new | np.concatenate(([True], rank[order[1:]] != rank[order[:-1]])))
+            asks, knows = np.sort(order[new]), np.sort(order[later])  # document by document, which compresses well
+            known = pa.array(np.concatenate((np.zeros(len(asks), _I), h[knows].view(_I))), mask=np.arange(len(asks) + len(knows)) < len(asks))
+            ids = k1[row]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((h[asked], mix(k2[run_row].view(U) + run_lo.astype(U)))).view(_I)),
-                    pa.array(np.concatenate((k1[row[asked]], k1[run_row]))),
-                    pa.array(np.concatenate((k2[row[asked]], k2[run_row]))),
-                    pa.array(np.concatenate((lo[asked] | second[asked].astype(_I) << _LOW, run_lo | run_n << _LOW | _KNOWN)).astype(_I)),
-                ],
-                ["h", "k1", "k2", "place"],
+                [pa.array(np.concatenate((h[asks].view(_I), ids[knows]))), pa.array(np.concatenate((ids[asks], ids[knows]))), known], ["h", "k1", "known"]
             )
 
     return run
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
-    """k1, k2, place of the windows of docs (doc_id, text) that also start in a document of a smaller id."""
-    texts = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", F.col("text").cast("binary").alias("bytes"))
-    asked = texts.where(F.length("bytes") >= 2 * length - 1).mapInArrow(_questions(length), "h long, k1 long, k2 long, place long")
-    same = W.partitionBy("h", F.shiftright("place", _LOW)).orderBy("k1").rowsBetween(W.unboundedPreceding, 0)
-    later = F.min("k1").over(same) < F.col("k1")
-    return asked.withColumn("later", later).where(F.col("later") | (F.col("place") >= _KNOWN)).select("k1", "k2", "place")
+    """k1, h: the hashes of windows of docs (doc_id, text) that also start in a document of a smaller id."""
+    texts = with_row_key(docs.select("doc_id", "text")).select("k1", F.col("text").cast("binary").alias("bytes"))
+    asked = texts.where(F.length("bytes") >= 2 * length - 1).mapInArrow(_questions(length), "h long, k1 long, known long")
+    same = W.partitionBy("h").orderBy("k1").rowsBetween(W.unboundedPreceding, 0)
+    first = F.min(F.when(F.col("known").isNull(), F.col("k1"))).over(same)
+    return asked.withColumn("first", first).where("known is not null or first < k1").select("k1", F.coalesce("known", "h").alias("h"))
 
 
 def _cut(length: int):
@@ -104,22 +87,26 @@ def _cut(length: int):
     def run(batches):
         for b in batches:
             data, at = binary(b.column("bytes"))
-            spans = b.column("spans")
-            offset = np.concatenate(([0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(_I)
-            place = spans.flatten().to_numpy(zero_copy_only=False).astype(_I)
+            answers = b.column("answers")
+            place = np.concatenate(([0], np.cumsum(answers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(_I)
+            flat = answers.flatten().to_numpy(zero_copy_only=False).view(U)
+            told = np.flatnonzero(np.diff(place))
             n_words, n_removed, kept = [np.zeros(0, _I)], [np.zeros(0, _I)], []
             for i, j in slices(at):
                 buf, row_at = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 s, e = _bounds(buf, row_at)
                 word_at = np.searchsorted(s, row_at)
                 n = np.diff(word_at)
-                mine = place[offset[i] : offset[j]]
-                first = (mine & ((1 << _LOW) - 1)) + np.repeat(word_at[:-1], np.diff(offset[i : j + 1]))
-                many = np.where(mine >= _KNOWN, (mine & (_KNOWN - 1)) >> _LOW, 1)
-                mark = np.zeros(len(s) + 1, np.int32)
-                np.add.at(mark, first, 1)
-                np.add.at(mark, first + many - 1 + length, -1)
-                gone = np.cumsum(mark[:-1]) > 0
+                gone = np.zeros(len(s), bool)
+                mine = told[np.searchsorted(told, i) : np.searchsorted(told, j)]
+                if len(mine):
+                    mark = np.zeros(len(s) + 1, np.int32)
+                    for a, _, h, end in _windows(buf, row_at, length):
+                        for r in mine[np.searchsorted(mine, i + a) : np.searchsorted(mine, i + a + len(end) - 1)]:
+                            found = word_at[r - i] + np.flatnonzero(np.isin(h[end[r - i - a] : end[r - i - a + 1]], flat[place[r] : place[r + 1]]))
+                            mark[found] += 1
+                            mark[found + length] -= 1
+                    gone = np.cumsum(mark[:-1]) > 0
                 n_words.append(n)
                 n_removed.append(np.diff(np.concatenate(([0], np.cumsum(gone)))[word_at]))
                 # a word that stays takes the byte before it along as its space, if its row has one
@@ -147,13 +134,14 @@ def remove_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     covers it also starts in a document of a smaller doc_id.  A null text has no words; texts
     of fewer words than a window keep all; a very long text is one text, rolled in slices; a
     null doc_id counts as the smallest; rows of one doc_id (ties, repeated rows) do not remove
-    each other's words; an empty table gives no rows; other columns of docs are not read.
+    each other's words, and get their answers together; an empty table gives no rows; other
+    columns of docs are not read.
     """
     if length < 1:
         raise ValueError("a window has one word at least")
-    spans = keep(repeated_windows(docs, length).groupBy("k1", "k2").agg(F.collect_set("place").alias("spans")), "spans")
-    texts = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    cut = texts.join(spans.hint("merge"), ["k1", "k2"], "left").select("k1", "bytes", "spans").mapInArrow(
+    answers = keep(repeated_windows(docs, length).groupBy("k1").agg(F.collect_set("h").alias("answers")), "answers")
+    texts = with_row_key(docs.select("doc_id", "text")).select("k1", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    cut = texts.join(answers.hint("merge"), "k1", "left").select("k1", "bytes", "answers").mapInArrow(
         _cut(length), "k1 long, n_words long, n_removed long, kept binary"
     )
     return cut.select(doc_id_of().alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
