@@ -58,9 +58,9 @@ def test_empty(spark):
 def test_annulus_leaves_rows_out():
     """On clustered vectors the triangle inequality rules most rows out, inside and outside the annulus."""
     r = np.random.default_rng(3)
-    c = r.normal(size=(64, 8))
+    c = r.normal(size=(64, 3))
     c *= 4000 / np.linalg.norm(c, axis=1, keepdims=True)  # embeddings of one norm
-    x = np.floor(np.repeat(c, 64, axis=0) + r.normal(size=(4096, 8)) * 20)
+    x = np.floor(np.repeat(c, 64, axis=0) + r.normal(size=(4096, 3)) * 20)
     tree = Tree.grow(x)
     ids, met = np.arange(len(x)), 0
     for q in x[::512]:
@@ -70,7 +70,7 @@ def test_annulus_leaves_rows_out():
         want = sorted((-int(s), int(i), int(i)) for i, s in enumerate(score) if lo <= s <= hi)[:3]
         assert found == want
         met += n
-    assert met < 0.5 * 8 * len(x), met
+    assert met < 0.3 * 8 * len(x), met  # few dimensions: in many, a triangle says little
 
 
 def test_digit_slices():

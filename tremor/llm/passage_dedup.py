@@ -76,6 +76,8 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     """k1, h: the hashes of windows of docs (doc_id, text) that also start in a document of a smaller id."""
     texts = with_row_key(docs.select("doc_id", "text")).select("k1", F.col("text").cast("binary").alias("bytes"))
     asked = texts.where(F.length("bytes") >= 2 * length - 1).mapInArrow(_questions(length), "h long, k1 long, known long")
+    # dealt before the window, which would otherwise add a column to what travels
+    asked = asked.repartition("h")
     same = W.partitionBy("h").orderBy("k1").rowsBetween(W.unboundedPreceding, 0)
     first = F.min(F.when(F.col("known").isNull(), F.col("k1"))).over(same)
     return asked.withColumn("first", first).where("known is not null or first < k1").select("k1", F.coalesce("known", "h").alias("h"))
