@@ -118,3 +118,68 @@ def test_search_leaves_most_rows_out():
     assert exact < 0.3 * full.size
     for i in range(20):
         assert (score[of == i] == np.sort(full[i])[::-1][:10]).all()
+
+
+def test_rare_lengths_are_compared(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=64).tolist(), 1) for i in range(700)]
+    for k in range(20):
+        v = r.normal(size=8)
+        rows += [(2000 + k, v.tolist(), 1), (3000 + k, (v * 1.5 + 0.01 * r.normal(size=8)).tolist(), 1)]
+    for k in range(12):
+        v = r.normal(size=3 + k)  # lengths met twice
+        rows += [(4000 + k, v.tolist(), 1), (5000 + k, (-v).tolist(), 1), (6000 + k, (v * 2).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for exact in (False, True):
+        links = {g.vec_id: g.n_links for g in near_duplicate_vectors(df, exact=exact).collect()}
+        assert all(links[2000 + k] >= 1 and links[3000 + k] >= 1 for k in range(20)) and all(links[4000 + k] == links[6000 + k] == 1 for k in range(12))
+
+
+def test_scores_of_large_components_are_exact(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, (np.floor(r.normal(size=5) * 1e15)).tolist()) for i in range(60)] + [(100 + i, (r.normal(size=5) * 3e9).tolist()) for i in range(40)]
+    rows += [(200, [1e300, 1.0, 1.0, 1.0, 1.0]), (201, [-1e300, 1.0, 1.0, 1.0, 1.0]), (202, [1e308] * 5), (204, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((q.query_id, q.rank, q.vec_id, q.score) for q in top_k(df, df.where("vec_id % 4 = 0"), k=6, scale=1024).collect()))
+    full = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows if np.isfinite(v[0] * 1024)}
+    want = []
+    for q in full:
+        if q % 4 == 0:
+            best = sorted((-sum(a * b for a, b in zip(full[q], v)), i) for i, v in full.items() if i != q)[:6]
+            want += [(q, n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and any(s is None for *_, s in want) and any(s is not None for *_, s in want)
+
+
+def test_queries_of_one_id_are_answered_each_for_itself(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((q.rank, q.vec_id) for q in top_k(df, df.where("vec_id = 1"), k=2, scale=1).collect())
+    assert got == [(1, 2), (1, 3), (2, 4), (2, 4)]
+
+
+def test_recall_over_fifty_thousand_vectors():
+    """The rule that decides which pairs are compared, on vectors as many as check_l has."""
+    from tremor.llm.embedding_dedup import APART, BLOCK, PREFIX, SHARED, _describe, _unit
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    n, dim, labels = 50_000, 64, 10
+    c = r.normal(size=(500, dim))
+    x = c[r.integers(0, 500, n)] * r.choice([0.0, 0.5], n)[:, None] + r.normal(size=(n, dim))
+    pairs = 2000
+    y = x[:pairs] + r.normal(size=(pairs, dim)) * 0.12 * np.linalg.norm(x[:pairs], axis=1, keepdims=True) / np.sqrt(dim)
+    near_enough = (_unit(x[:pairs]) * _unit(y)).sum(axis=1) >= 0.98
+    pivots = _unit(x[r.permutation(n)[: 2 * PREFIX * (n // labels) // BLOCK + PREFIX]])
+
+    def near(v):
+        batch = pa.record_batch({"class": pa.array(range(len(v))), "label": ["a"] * len(v), "n": [1] * len(v), "vector": pa.array(list(v), pa.list_(pa.float64()))})
+        (out,) = _describe({dim: pivots}, PREFIX)([batch])
+        return np.array(out.column("near").to_pylist())
+
+    a, b = near(x[:pairs]), near(y)
+    met = 0
+    for p, q in zip(a[near_enough], b[near_enough], strict=True):
+        shared, i, j = np.intersect1d(p, q, return_indices=True)
+        met += len(shared) >= SHARED and np.abs(i - j).mean() <= APART
+    assert near_enough.sum() > 500 and met >= 0.95 * near_enough.sum()

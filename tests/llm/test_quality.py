@@ -131,3 +131,24 @@ def test_against_brute_force(spark):
         assert g.kept == (g.score < 0.5) and (words_of(dict(rows)[g.doc_id] or "") or (g.score == 0 and g.kept))
     # the scorer agrees with the weak labels it learnt from, on nearly all texts
     assert sum((g.score >= 0.5) == (g.posterior >= 0.5) for g in got if by[g.doc_id].strip("0")) >= 0.9 * len(got)
+
+
+def test_a_row_repeated_often_does_not_push_junk_out_of_training(spark):
+    r = random.Random(8)
+    plain = "the of and to in is a it for with river stone window morning paper letter garden evening quiet walk".split()
+    plain += ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 9))) for _ in range(300)]
+    fine = [(i, " ".join(r.choice(plain[:12] if r.random() < 0.4 else plain) for _ in range(60))) for i in range(200)]
+    junk = [(1000 + i, " ".join(r.choice(["BUY!!", "NOW##", "$$$x", "100%%", "WIN@@x", "the"]) for _ in range(60))) for i in range(200)]
+    once = spark.createDataFrame(fine + junk, "doc_id long, text string")
+    often = once.where("doc_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).drop("n")
+    got = classify(once.union(often)).select("doc_id", "kept").distinct().collect()
+    assert len(got) == 400 and all(g.kept == (g.doc_id < 1000) for g in got)
+
+
+def test_scores_that_tie_with_the_limit_are_rejected(spark, monkeypatch):
+    from tremor.llm import quality
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    score = {g.doc_id: g.score for g in classify(docs).collect()}
+    monkeypatch.setattr(quality, "REJECT", score[1])
+    assert {g.doc_id: g.kept for g in classify(docs).collect()} == {1: False, 2: True}

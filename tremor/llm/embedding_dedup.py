@@ -9,7 +9,8 @@ class with a count, so copies are never expanded into pairs.
 P follows the rows up to MOST_PIVOTS, the bounded sample on which the index is fitted, so
 lists keep their length; a longer list is cut into blocks, and every two blocks of it meet
 in a task of their own: whatever the size, all vectors are indexed and no list is capped.
-exact=True puts all vectors of a label on one list instead, with all of its pairs.  A pair is owned by its smallest
+Each of the commonest lengths has pivots of its own; vectors of other lengths, and all with
+exact=True, are on one list a label and length, with all of its pairs.  A pair is owned by its smallest
 shared pivot, so its link is counted once.  A task gives back link counts and a spanning
 forest, not pairs.
 """
@@ -31,8 +32,11 @@ PREFIX, SHARED = 12, 3
 APART = 5.0
 #: Vectors in a block of a list; lists aim at half of it.
 BLOCK = 512
-#: Pivots at most, drawn from a bounded sample of the vectors.
+#: Pivots of a length at most, drawn from a bounded sample of its vectors.
 MOST_PIVOTS = 4096
+#: The commonest lengths that get pivots, if a label has more than a block of them; for the rest
+#: every pair of a list is compared.
+LENGTHS = 8
 
 
 def _usable(column: str = "embedding"):
@@ -47,22 +51,23 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _describe(pivots: np.ndarray, prefix: int):
-    """Rows with the ordered nearest pivots of each vector."""
+def _describe(pivots: dict[int, np.ndarray], prefix: int):
+    """Rows with the ordered nearest pivots of each vector; those of a length without pivots are on list 0."""
 
     def run(batches):
         for b in batches:
             values = b.column("vector").to_pylist()
             dims = np.array([len(v) for v in values])
-            near = np.zeros((len(values), prefix), np.int32)
+            near: list = [np.zeros(1, np.int32)] * len(values)
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                if d == pivots.shape[1]:
-                    score = _unit([values[i] for i in at]) @ pivots.T
-                    near[at] = np.argsort(-score, axis=1, kind="stable")[:, :prefix]
+                if int(d) in pivots:
+                    at = np.flatnonzero(dims == d)
+                    score = _unit([values[i] for i in at]) @ pivots[int(d)].T
+                    for i, places in zip(at, np.argsort(-score, axis=1, kind="stable")[:, :prefix].astype(np.int32), strict=True):
+                        near[i] = places
             yield pa.RecordBatch.from_arrays(
-                [b.column("class"), b.column("label"), b.column("n"), b.column("vector"), pa.array(list(near), pa.list_(pa.int32()))],
-                ["class", "label", "n", "vector", "near"],
+                [b.column("class"), b.column("label"), b.column("n"), b.column("vector"), pa.array(dims.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))],
+                ["class", "label", "n", "vector", "d", "near"],
             )
 
     return run
@@ -73,10 +78,8 @@ def _links(threshold: float, shared: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["label", "pivot", "first", "second"], sort=False):
-            g = g.sort_values("class")
-            for _, same in g.groupby(g["vector"].map(len), sort=False):
-                out += one(same)
+        for _, g in pdf.groupby(["label", "d", "pivot", "first", "second"], sort=False):
+            out += one(g.sort_values("class"))
         a, b, links = zip(*out, strict=True) if out else ((), (), ())
         return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": pd.array(links, "Int64")})
 
@@ -101,7 +104,7 @@ def _links(threshold: float, shared: int):
             return mine[near_enough]
 
         x, y = np.flatnonzero(part == first), np.flatnonzero(part == second)
-        common = has[x] @ has[y].T >= shared
+        common = has[x] @ has[y].T >= min(shared, near.shape[1])
         if first == second:
             common &= x[:, None] < y[None, :]
         i, j = np.nonzero(common)
@@ -134,9 +137,10 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefi
 
     Vectors are compared when their labels are equal and not null.  Null or empty vectors,
     zero ones, and those with null or infinite components or NaN link with nothing; vectors
-    of different lengths are not compared; equal and repeated rows are linked; a null vec_id
-    takes part and is never the smallest; an empty table gives no rows; other columns are
-    not read.
+    of different lengths are not compared, whatever lengths are rare; equal and repeated rows
+    are linked; similarities that tie with the threshold are links; a null vec_id takes part
+    and is never the smallest; an empty table gives no rows; other columns are not read.
+    Vectors are taken as equal when their 64-bit hashes are.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
@@ -146,35 +150,37 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, prefi
     classes = keep(
         named.where(F.col("class").isNotNull()).groupBy("class", "label").agg(F.count("*").alias("n"), F.first(plain).alias("vector")), "classes"
     )
-    total, most = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
-    if not total:
+    lengths = classes.groupBy("label", F.size("vector").alias("d")).count().groupBy("d").agg(F.sum("count").alias("all"), F.max("count").alias("most"))
+    commonest = lengths.orderBy(F.desc("all"), "d").limit(LENGTHS).collect()
+    if not commonest:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = classes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    p = 1 if exact else int(min(MOST_PIVOTS, max(prefix, 2 * prefix * most // BLOCK + prefix)))
-    # a bounded sample, by a hash of the vector
-    sample = classes.where(F.size("vector") == size).orderBy(F.xxhash64("class"), "class").limit(p).select("vector").collect()
-    pivots = _unit([r["vector"] for r in sample])
-    width = min(prefix, len(pivots))
+    pivots = {}
+    for r in commonest if not exact else ():
+        if r["most"] > BLOCK:
+            p = int(min(MOST_PIVOTS, 2 * prefix * r["most"] // BLOCK + prefix))
+            # a bounded sample, by a hash of the vector
+            sample = classes.where(F.size("vector") == r["d"]).orderBy(F.xxhash64("class"), "class").limit(p).select("vector").collect()
+            pivots[r["d"]] = _unit([x["vector"] for x in sample])
     near = keep(
         classes.select("class", "label", "n", "vector").mapInArrow(
-            _describe(pivots, width), "class long, label string, n long, vector array<double>, near array<int>"
+            _describe(pivots, prefix), "class long, label string, n long, vector array<double>, d int, near array<int>"
         ),
         "near",
     )
     lists = near.withColumn("pivot", F.explode("near"))
-    length = keep(lists.groupBy("label", "pivot").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lengths")
+    length = keep(lists.groupBy("label", "d", "pivot").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lengths")
     meetings = length.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0]
-    blocked = lists.join(length.drop("rows"), ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("class", "pivot"), "blocks").cast("int"))
+    blocked = lists.join(length.drop("rows"), ["label", "d", "pivot"]).withColumn("part", F.pmod(F.xxhash64("class", "pivot"), "blocks").cast("int"))
     met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "class", "n", "vector", "near", "label", "pivot", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second")
+        "class", "n", "vector", "near", "label", "d", "pivot", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second")
     )
     tasks = max(shuffle_partitions(spark), 1)
     # buckets follow the work, so that one holds a few blocks however large the table is
-    bucket = F.pmod(F.xxhash64("label", "pivot", "first", "second"), F.lit(max(8 * tasks, meetings // (8 * BLOCK))))
+    bucket = F.pmod(F.xxhash64("label", "d", "pivot", "first", "second"), F.lit(max(8 * tasks, meetings // (8 * BLOCK))))
     found = keep(
         met.withColumn("bucket", bucket)
         .groupBy("bucket")
-        .applyInPandas(_links(threshold, min(shared, width)), "a long, b long, links long"),
+        .applyInPandas(_links(threshold, shared), "a long, b long, links long"),
         "links",
     )
     label = connected_components(found.where("b is not null").select("a", "b"))

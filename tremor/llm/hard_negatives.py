@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import keep
-from .integers import as_long, order_key, products, whole
+from .integers import as_long, floored, order_key, products, whole
 
 #: Vectors of a tree, anchors of a block, vectors of a leaf.
 CHUNK, BLOCK, LEAF = 4096, 256, 64
@@ -182,13 +182,10 @@ _FOUND_SCHEMA = "anchor long, anchor_id long, positive_id long, positive string,
 
 def labelled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     """Distinct vec_id, label, v (floor(scale * x) as doubles) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
-    scaled = F.transform(v, lambda x: x * scale)
-    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    down = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
+    usable, v = floored("embedding", scale)
     return (
-        embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(False)))
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform(down, lambda x: x + 0.0).alias("v"))
+        embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable)
+        .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
         .distinct()
     )
 

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Sums below this are exact in double precision.
 EXACT = 1 << 53
 
 
+def floored(name: str, scale: int) -> tuple[Column, Column]:
+    """Of a column of vectors: whether a vector takes part (there, not empty, no null, NaN or infinity,
+    also when scaled), and floor(scale * x) of its components as doubles, -0.0 as 0.0."""
+    scaled = F.transform(F.col(name).cast("array<double>"), lambda x: x * scale)
+    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # from 2^52 on doubles have no fraction, and soon no long holds them
+    down = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x) + 0.0)
+    return F.col(name).isNotNull() & (F.size(name) > 0) & ~F.coalesce(bad, F.lit(False)), down
+
+
 def whole(x: np.ndarray) -> np.ndarray:
     """Doubles without a fraction as int64, or as Python integers where one is too large for that."""
     if not x.size or np.abs(x).max() < 2.0**62:

@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote junk, fine or nothing on every document.  E
 maximisation estimates each labeller's accuracy without any true label; all documents
 take part, as the counts of the vote patterns (at most 3^7) are all it needs.  Documents'
 posterior labels then train a linear scorer on hashed features of word shapes, on at most
-MAX_TRAIN documents drawn by a hash; the scorer decides about every document.
+MAX_TRAIN different documents drawn by a hash; the scorer decides about every document.
 """
 
 from __future__ import annotations
@@ -223,24 +223,20 @@ def classify(docs: DataFrame) -> DataFrame:
     junk, _, _ = fit_labellers(np.array([[int(c) for c in v] for v in names], np.int8), np.array([n for _, n in pattern], float))
     weak = spark.createDataFrame(list(zip(names, junk.tolist(), strict=True)), "votes string, posterior double")
     posterior = voted.join(F.broadcast(weak), "votes")  # at most 3^7 rows
-    total = sum(n for _, n in pattern)
+    # a row repeated any number of times trains once; the draw, not the label, decides what trains
+    keys = keep(posterior.groupBy("k1", "k2").agg(F.first("votes").alias("votes"), F.first("posterior").alias("posterior")), "keys")
     draw = F.pmod(F.xxhash64("k1", "k2", F.lit("train")), F.lit(1 << 30))
     chosen = keep(
-        posterior.where(draw < F.lit(int(min(1.0, 1.5 * MAX_TRAIN / total) * (1 << 30))))
-        .orderBy(draw, "k1", "k2")
-        .limit(MAX_TRAIN)
-        .select("k1", "k2", "posterior")
-        .distinct(),
-        "train",
+        keys.where(draw < F.lit(int(min(1.0, 1.5 * MAX_TRAIN / keys.count()) * (1 << 30)))).orderBy(draw, "k1", "k2").limit(MAX_TRAIN).select("k1", "k2", "posterior"), "train"
     )
     rows = (
         join_small(texts, chosen, ["k1", "k2"], "inner", 64)
-        .select("k1", "posterior", "bytes")
-        .mapInArrow(lambda b: _scored(b, ["k1", "posterior"], lambda x: x), "k1 long, posterior double, out binary")
-        .select("posterior", "out")  # MAX_TRAIN rows and equal ones of these
-        .orderBy("posterior", "out")
-        .limit(2 * MAX_TRAIN)
-        .collect()
+        .select("k1", "k2", "posterior", "bytes")
+        .mapInArrow(lambda b: _scored(b, ["k1", "k2", "posterior"], lambda x: x), "k1 long, k2 long, posterior double, out binary")
+        .groupBy("k1", "k2")
+        .agg(F.first("posterior").alias("posterior"), F.min("out").alias("out"))
+        .orderBy("k1", "k2")
+        .collect()  # MAX_TRAIN rows at most
     )
     w = fit_scorer(np.stack([np.frombuffer(r["out"], np.float32) for r in rows]), np.array([r["posterior"] for r in rows]))
 
@@ -249,15 +245,18 @@ def classify(docs: DataFrame) -> DataFrame:
         return np.where(x.any(axis=1), p, 0.0)
 
     scored = texts.select("k1", "k2", "bytes").mapInArrow(lambda b: _scored(b, ["k1", "k2"], use), "k1 long, k2 long, out double")
-    # equal rows have equal scores, so keys may be made distinct before they meet their posteriors
-    meet = scored.join(posterior.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    meet = scored.join(keys, ["k1", "k2"])
     return meet.select(
         doc_id_of().alias("doc_id"), "votes", "posterior", F.col("out").alias("score"), (F.col("out") < REJECT).alias("kept"), "k1", "k2"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns as they are."""
+    """docs without the rows that the classifier rejects; columns as they are.
+
+    Null, empty and wordless texts stay, whatever their length long texts are measured whole,
+    scores that tie with REJECT go, repeated rows go or stay together, an empty table gives no
+    rows, and columns may have any name (`classify` tells the rest)."""
     keyed, key = with_fresh_key(docs)
     rejected = keep(classify(docs).where(~F.col("kept")).select("k1", "k2").distinct().toDF(*key), "rejected")
     return join_small(keyed, rejected, key, "left_anti", 32).select(*docs.columns)

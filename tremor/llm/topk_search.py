@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import keep
+from .integers import EXACT, as_long, floored, largest, order_key, products, whole
 
 QUERY_BLOCK = 1024
 CHUNK = 4096
@@ -40,11 +41,28 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
 def search(query: np.ndarray, query_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, levels=LEVELS):
     """Best k (score, id) of each query among x without the query's own row; ties to smaller ids.
 
-    Integer vectors in double precision, exact while scores stay below 2^53.
+    Vectors are whole doubles.  Scores are exact: by one float64 product each while they stay
+    below 2^53, else as Python integers (`integers.products`), with bounds from vectors
+    scaled to components of at most 1.
     Returns arrays query place, row place, score, and how many scores were multiplied out.
     """
     order = np.argsort(x_id, kind="stable")
     x, x_id = x[order], x_id[order]
+    wide = largest(query) * largest(x) * x.shape[1] >= EXACT
+    unit, own = 1, np.ones(len(query))
+    if wide:
+        unit, own = largest(x) or 1, np.abs(query).max(axis=1, initial=0)
+        own[own == 0] = 1
+        exact_q, exact_x = whole(query), whole(x)
+        query, x = query / own[:, None], x / unit
+
+    def scores(rows: np.ndarray, i: int) -> np.ndarray:
+        return products(exact_x[rows], exact_q[i][:, None])[:, 0] if wide else x[rows] @ query[i]
+
+    def bar(score, i: int) -> float:
+        """A score on the scale of the bounds."""
+        return int(score) / (int(own[i]) * unit) if wide else score
+
     stats = [(_statistics(query, s), _statistics(x, s)) for s in levels if s <= x.shape[1]]
     slack = 1e-9 * (1 + np.abs(query).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1])
     found, exact = [], 0
@@ -55,15 +73,15 @@ def search(query: np.ndarray, query_id: np.ndarray, x: np.ndarray, x_id: np.ndar
         if not others:
             continue
         first = np.argpartition(-bound, min(k, others) - 1)[: min(k, others)]
-        limit = (x[first] @ query[i]).min() if others >= k else -np.inf
+        limit = bar(scores(first, i).min(), i) if others >= k else -np.inf
         alive = np.flatnonzero((bound + slack >= limit) & (bound > -np.inf))
         for of_query, of_x in stats[1:]:
             finer = of_x[alive] @ of_query[i]
             if len(alive) > 4 * k:  # a better limit from the most promising ones
                 some = alive[np.argpartition(-finer, k - 1)[:k]]
-                limit = max(limit, (x[some] @ query[i]).min())
+                limit = max(limit, bar(scores(some, i).min(), i))
             alive = alive[finer + slack >= limit]
-        score = x[alive] @ query[i]
+        score = scores(alive, i)
         exact += len(alive)
         best = np.argsort(-score, kind="stable")[:k]  # rows are in id order, so ties keep smaller ids
         found.append((np.full(len(best), i), order[alive[best]], score[best]))
@@ -76,10 +94,13 @@ def _meet(k: int):
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q, q_id = np.vstack(row.queries).astype(np.float64), np.array(row.query_ids)
+                q, q_id, key = np.vstack(row.queries).astype(np.float64), np.array(row.query_ids), np.array(row.keys)
                 x, x_id = np.vstack(row.vectors).astype(np.float64), np.array(row.vec_ids)
                 of, at, score, _ = search(q, q_id, x, x_id, k)
-                yield pd.DataFrame({"query_id": q_id[of], "vec_id": x_id[at], "score": score.astype(np.int64)})
+                n = [int(s) for s in score]
+                yield pd.DataFrame(
+                    {"key": key[of], "query_id": q_id[of], "vec_id": x_id[at], "score": pd.array([as_long(s) for s in n], "Int64"), "place": [order_key(s) for s in n]}
+                )
 
     return run
 
@@ -92,35 +113,36 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     Vectors that are null, empty, or hold a null, an infinity or NaN take no part, on either
     side, nor do rows without vec_id; vectors meet those of their own length only; ties go to
     the smaller vec_id; repeated rows are candidates each, a repeated query is answered once,
-    and no row of its own vec_id is a candidate; fewer rows than k give all; empty tables give no rows; other columns are not read.
+    queries that share a vec_id but not the vector are answered each for itself, and no row of
+    its own vec_id is a candidate; fewer rows than k give all; empty tables give no rows; other
+    columns are not read.  Scores are exact whatever the components' size; one that no long
+    holds is ranked and null.
     """
 
-    def whole(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
-        bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        scaled = F.transform(v, lambda x: F.floor(x * scale).cast("double"))
-        return (
-            df.where(v.isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.size(v) > 0) & F.col("vec_id").isNotNull())
-            .select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-            .withColumn("d", F.size("v"))
-        )
+    usable, values = floored("embedding", scale)
+
+    def scaled(df: DataFrame) -> DataFrame:
+        rows = df.where(usable & F.col("vec_id").isNotNull())
+        return rows.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v")).withColumn("d", F.size("v"))
 
-    vectors, asked = keep(whole(embeddings), "vectors"), keep(whole(queries).distinct(), "queries")
+    vectors, asked = keep(scaled(embeddings), "vectors"), keep(scaled(queries).distinct(), "queries")
 
     def packed(df: DataFrame, size: int, block: str, ids: str, values: str) -> DataFrame:
         n = df.count()
         at = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))).cast("int")
-        return df.groupBy("d", at.alias(block)).agg(F.collect_list("vec_id").alias(ids), F.collect_list("v").alias(values))
+        # one list of structs: separate lists need not keep the same order
+        rows = df.groupBy("d", at.alias(block)).agg(F.collect_list(F.struct("vec_id", "v", F.xxhash64("vec_id", "v").alias("key"))).alias("rows"))
+        return rows.select("d", block, F.col("rows.vec_id").alias(ids), F.col("rows.v").alias(values), F.col("rows.key").alias("keys"))
 
     blocks = keep(packed(asked, QUERY_BLOCK, "block", "query_ids", "queries"), "blocks")
-    chunks = packed(vectors, CHUNK, "chunk", "vec_ids", "vectors")
+    chunks = packed(vectors, CHUNK, "chunk", "vec_ids", "vectors").drop("keys")
     count = lambda n, size: F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1))
     # every chunk meets every block in a task of their own: dealt by both, whatever the number of either
     met = (
         chunks.withColumn("block", F.explode(count(asked.count(), QUERY_BLOCK)))
         .join(blocks.withColumn("chunk", F.explode(count(vectors.count(), CHUNK))), ["d", "block", "chunk"])
-        .select("queries", "query_ids", "vectors", "vec_ids")
+        .select("queries", "query_ids", "keys", "vectors", "vec_ids")
     )
-    local = met.mapInPandas(_meet(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    local = met.mapInPandas(_meet(k), "key long, query_id long, vec_id long, score long, place binary")
+    rank = F.row_number().over(W.partitionBy("query_id", "key").orderBy(F.desc("place"), "vec_id"))
     return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
