@@ -61,10 +61,10 @@ def test_annulus_leaves_rows_out():
     c = r.normal(size=(64, 3))
     c *= 4000 / np.linalg.norm(c, axis=1, keepdims=True)  # embeddings of one norm
     x = np.floor(np.repeat(c, 64, axis=0) + r.normal(size=(4096, 3)) * 20)
-    tree = Tree.grow(x)
+    tree = Tree.grow(x, 64)
     ids, met = np.arange(len(x)), 0
     for q in x[::512]:
-        score = (tree.exact @ q.astype(np.int64)).astype(np.int64)
+        score = (tree.raw @ q).astype(np.int64)
         lo, hi = int(score.max()) // 2, int(score.max()) * 95 // 100
         (found,), n = tree.search(q, np.ones(len(x), bool), ids, [(lo, hi)], 3)
         want = sorted((-int(s), int(i), int(i)) for i, s in enumerate(score) if lo <= s <= hi)[:3]

@@ -15,6 +15,7 @@ A task holds one tree and one block.  Distances only rule out; scores are exact
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import keep
-from .integers import as_long, floored, order_key, products, whole
+from .integers import EXACT, as_long, floored, order_key, products, whole
 
 #: Vectors of a tree, anchors of a block, vectors of a leaf.
-CHUNK, BLOCK, LEAF = 4096, 256, 64
+CHUNK, BLOCK, LEAF = 4096, 256, 256
 _NODE = ("first", "end", "near", "far", "near_lo", "near_hi", "far_lo", "far_hi")
 
 
@@ -39,7 +40,7 @@ class Tree:
         self.raw, self.order, self.nodes = x, order, nodes
         self.unit = float(np.abs(x).max(initial=0)) or 1.0
         self.scaled = x / self.unit
-        self.exact = whole(x)
+        self.exact: np.ndarray | None = None  # integers, once doubles do not do
         self.square = float((self.scaled**2).sum(axis=1).max(initial=0))
         self.inner = np.flatnonzero(nodes[:, 2] >= 0)  # nodes with a vantage point, which is their first row
         self.vantage = nodes[self.inner, 0].astype(int)
@@ -75,39 +76,42 @@ class Tree:
         """For each window (lowest, highest score, None for no end), its k best rows (-score, id,
         row) among the allowed; and how many rows were multiplied out.  Ties go to smaller ids."""
         unit = float(np.abs(q).max(initial=0)) or 1.0
-        size, exact_q = q / unit, whole(q)[:, None]
+        size = q / unit
         scale = (int(unit), int(self.unit))  # a score is this product times its scaled form
         total = self.square + float(size @ size)
         slack = 1e-9 * (1 + total)
+        wide = scale[0] * scale[1] * len(q) >= EXACT
+        if wide:
+            self.exact = whole(self.raw) if self.exact is None else self.exact
+            exact_q = whole(q)[:, None]
 
-        def scaled(score, otherwise: float) -> float:
-            return otherwise if score is None else score / (scale[0] * scale[1])
+        def scaled(score) -> float:
+            return score if isinstance(score, float) else score / (scale[0] * scale[1])
 
         found: list[list] = [[] for _ in windows]
-        # a row below it is of no use to the window
-        wanted = [math.inf if None not in (lo, hi) and lo > hi else scaled(lo, -math.inf) for lo, hi in windows]
-        highest = max((scaled(hi, math.inf) for _, hi in windows), default=-math.inf) + slack
+        ends = [(-math.inf if lo is None else lo, math.inf if hi is None else hi) for lo, hi in windows]
+        need = [math.inf if lo > hi else lo for lo, hi in ends]  # a row below it is of no use to the window
+        top = max((hi for _, hi in ends), default=-math.inf)
+        highest = scaled(top) + slack
+        wanted = [scaled(n) for n in need]
         met = 0
 
-        def visit(rows: np.ndarray) -> None:
+        def visit(rows: slice | np.ndarray) -> None:
             nonlocal met
-            rows = rows[allowed[rows]]
-            if not len(rows):
-                return
-            met += len(rows)
-            score = products(self.exact[rows], exact_q)[:, 0]
-            for w, (lo, hi) in enumerate(windows):
-                use = np.ones(len(rows), bool)
-                if lo is not None:
-                    use &= score >= lo
-                if hi is not None:
-                    use &= score <= hi
-                if len(found[w]) == k:
-                    use &= score >= -found[w][-1][0]
-                if use.any():
-                    found[w] = sorted([*found[w], *((-int(s), int(ids[r]), int(r)) for s, r in zip(score[use], rows[use], strict=True))])[:k]
-                    if len(found[w]) == k:
-                        wanted[w] = max(wanted[w], scaled(-found[w][-1][0], 0))
+            score = products(self.exact[rows], exact_q)[:, 0] if wide else self.raw[rows] @ q
+            met += len(score)
+            use = np.flatnonzero(allowed[rows] & (score >= min(need, default=math.inf)) & (score <= top))
+            at = use + rows.start if isinstance(rows, slice) else rows[use]
+            for s, r in sorted(zip((-int(s) for s in score[use]), at.tolist(), strict=True)):
+                if -s < min(need):
+                    break
+                for w, (lo, hi) in enumerate(ends):
+                    if need[w] <= -s <= hi:
+                        bisect.insort(found[w], (s, int(ids[r]), r))
+                        del found[w][k:]
+                        if len(found[w]) == k:
+                            need[w] = max(lo, -found[w][-1][0])
+                            wanted[w] = scaled(need[w])
 
         def best(distance: float) -> float:
             return (total - distance * distance) / 2
@@ -124,7 +128,7 @@ class Tree:
                 continue
             a, b, near, far, near_lo, near_hi, far_lo, far_hi = self.nodes[at]
             if near < 0:
-                visit(np.arange(int(a), int(b)))
+                visit(slice(int(a), int(b)))
                 continue
             d = to_vantage[at]
             for child, lo, hi in ((near, near_lo, near_hi), (far, far_lo, far_hi)):
@@ -220,7 +224,7 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
         packed = keep(asked.groupBy("d", deal(blocks, "anchor").alias("block")).agg(F.collect_list(F.struct(*columns)).alias("anchors")), "blocks")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         # every tree meets every block in a task of their own: dealt by both, whatever the number of either
-        met = forest.withColumn("block", every(blocks)).join(packed.withColumn("chunk", every(chunks)), ["d", "block", "chunk"])
+        met = forest.withColumn("block", every(blocks)).join(packed.withColumn("chunk", every(chunks)).hint("merge"), ["d", "block", "chunk"])
         local = met.select("ids", "labels", "vectors", "nodes", "anchors").mapInPandas(_meet(k, same), _FOUND_SCHEMA)
         rank = F.row_number().over(W.partitionBy("anchor", "positive_id", "positive").orderBy(F.desc("place"), "id"))
         return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
