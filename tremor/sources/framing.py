@@ -1,25 +1,34 @@
-"""Framed packets of a three-axis accelerometer: batch files and a streaming replay.
+"""Framed packets of a three-axis accelerometer.
 
 A frame is the magic, a header of four little-endian fields (samples N as u16, a reserved
 u16, elapsed microseconds and a sequence number as u32) and 3 * N little-endian i32 counts,
-all of X, then Y, then Z.
+all of X, then Y, then Z.  This module finds and decodes frames in any byte range of a
+capture; sources.wire makes Spark sources of it.
+
+A range a..b gives the frames that end inside it, so ranges side by side give every frame once.
+Where a reader at the beginning of the capture would stand at byte a depends on all bytes
+before a, as it skips over whole frames and, after a stray V, over three bytes more.  But a
+few frames back it is nearly always the same wherever one starts: `synchronised` maps every
+possible entry of a window before a to its exit, and takes a longer window until all entries
+have one exit.  No range needs another's result, and nobody has to read a capture in one go.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 MAGIC = b"VIB2"
 HEADER = struct.Struct("<HHII")
+#: Bytes of magic and header, and of the longest frame.
+HEAD = len(MAGIC) + HEADER.size
+LONGEST = HEAD + 12 * 65535
 COUNTS_PER_G = 256_000.0
-PACKETS = "capture_id string, arrival_ix long, n int, elapsed_us long, sequence long, fs double, x array<double>, y array<double>, z array<double>"
+#: Further than any byte: where a frame ends whose header is not there yet.
+_OPEN = 1 << 62
 
 
 def find_frame(data: bytes, at: int, resync: str = "reference") -> int:
@@ -65,60 +74,111 @@ def encode(x, y, z, elapsed_us: int, sequence: int = 0) -> bytes:
     return MAGIC + HEADER.pack(len(x), 0, elapsed_us, sequence) + body
 
 
-def read_captures(spark: SparkSession, path: str, resync: str = "reference") -> DataFrame:
-    """Packets of capture files; the file name is the capture.  Malformed packets are left out."""
-
-    def decode(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                good = [p for _, p in frames(bytes(content), resync) if p]
-                rows = [(name.rsplit("/", 1)[-1], i, *p) for i, p in enumerate(good)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, PACKETS)
+def marks(data: bytes, resync: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a scan of data may stop: places, where it goes on from there, and which are frames.
+
+    reference: every V; one that is no magic sends the scan four bytes on.  search: every magic.
+    A V too near the end to tell, and a frame without its header, lead to _OPEN."""
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(b == MAGIC[0])
+    known = at[at + len(MAGIC) <= len(b)]
+    magic = np.ones(len(known), bool)
+    for k in range(1, len(MAGIC)):
+        magic &= b[known + k] == MAGIC[k]
+    on = np.full(len(at), _OPEN, np.int64)
+    on[: len(known)] = known + len(MAGIC)
+    head = np.flatnonzero(magic)
+    whole = head[known[head] + HEAD <= len(b)]
+    on[head] = _OPEN
+    n = b[known[whole] + len(MAGIC)].astype(np.int64) + 256 * b[known[whole] + len(MAGIC) + 1].astype(np.int64)
+    on[whole] = known[whole] + HEAD + 12 * n
+    frame = np.zeros(len(at), bool)
+    frame[head] = True
+    if resync == "search":
+        keep = frame | (np.arange(len(at)) >= len(known))
+        return at[keep], on[keep], frame[keep]
+    return at, on, frame
 
 
-class _Replay(SimpleDataSourceStreamReader):
-    """Offset: the byte after the last whole frame, and packets so far; a cut frame waits for more bytes."""
+def exits(at: np.ndarray, on: np.ndarray, stop: int) -> np.ndarray:
+    """For each mark before `stop`, the first place from `stop` on that a scan beginning there
+    comes to; and last, for a scan that meets no mark."""
+    at, on = at[at < stop], on[at < stop]
+    here = np.arange(len(at) + 1)
+    out = np.append(on, stop)
+    to = np.where(out < stop, np.searchsorted(at, out), here)
+    while np.any(to[to] != to):  # each round doubles the marks passed over
+        to = to[to]
+    return out[to]
 
-    def __init__(self, options: dict):
-        self.path, self.resync = options["path"], options.get("resync", "reference")
-        self.most = int(options.get("packetsPerBatch", "1000"))
-        self.bytes = max(1 << 20, int(options.get("bytesPerBatch", str(16 << 20))))  # longer than any frame
 
-    def initialOffset(self) -> dict:
-        return {"byte": 0, "packet": 0}
+def synchronised(read: Callable[[int, int], bytes], a: int, resync: str) -> int:
+    """The first place from a on where a scan of the capture from its beginning looks for a frame.
 
-    def _rows(self, start: dict, end: int | None):
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            data = f.read(self.bytes) if end is None else f.read(end - start["byte"])
-        rows, at, name = [], 0, Path(self.path).name
-        for at_, p in frames(data, self.resync):
-            at = at_
-            if p:
-                rows.append((name, start["packet"] + len(rows), *p))
-            if end is None and len(rows) == self.most:
+    read(from, to) gives bytes of the capture, fewer at its end.  Every scan enters the first
+    LONGEST bytes of a window somewhere; if all entries there leave it at one place, what lies
+    before does not matter.
+    """
+    width = 2 * LONGEST
+    while True:
+        lo = max(0, a - width)
+        at, on, _ = marks(read(lo, a + HEAD), resync)
+        out = exits(at, on, a - lo)
+        last = 0 if lo == 0 else int(np.searchsorted(at[at < a - lo], LONGEST - 1))
+        if np.all(out[: last + 1] == out[0]):
+            return lo + int(out[0])
+        width *= 2
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Bytes start..end of a capture: a frame (with its header's fields), or what is none."""
+
+    start: int
+    end: int
+    n: int = 0
+    elapsed_us: int = 0
+    sequence: int = 0
+    reason: str | None = None
+
+    @property
+    def packet(self) -> bool:
+        return self.reason is None
+
+
+def pieces(read: Callable[[int, int], bytes], a: int, b: int, resync: str = "reference", last: bool = False) -> Iterator[tuple[Piece, bytes]]:
+    """What a range of a capture holds, in order, with its bytes: the frames that end in a+1..b,
+    malformed ones with a reason, and the bytes in a..b that belong to no frame (reason "no frame").
+
+    last: b is the end of the capture, where a frame that is cut off gets the reason "cut off".
+    """
+    lo = max(0, a - LONGEST)  # a frame that ends inside the range begins behind it
+    at = synchronised(read, lo, resync) if lo else 0
+    data = read(lo, b + len(MAGIC))
+    limit = min(b - lo, len(data))
+    where, on, frame = marks(data, resync)
+    place, junk = at - lo, max(at, a) - lo  # of the scan, and of the first byte that is in no frame so far
+
+    def loose(until: int) -> Iterator[tuple[Piece, bytes]]:
+        if until > junk:
+            yield Piece(lo + junk, lo + until, reason="no frame"), data[junk:until]
+
+    while (k := int(np.searchsorted(where, place))) < len(where) and where[k] < limit:
+        start, place = int(where[k]), int(on[k])
+        if not frame[k]:
+            if place == _OPEN:  # at the end of the capture
                 break
-        return rows, {"byte": start["byte"] + at, "packet": start["packet"] + len(rows)}
-
-    def read(self, start: dict):
-        rows, offset = self._rows(start, None)
-        return iter(rows), offset
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._rows(start, end["byte"])[0])
-
-
-class CaptureSource(DataSource):
-    """spark.dataSource.register(CaptureSource); readStream.format("vib2").option("path", ..)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "vib2"
-
-    def schema(self) -> str:
-        return PACKETS
-
-    def simpleStreamReader(self, schema) -> _Replay:
-        return _Replay(dict(self.options))
+            continue
+        if place > limit:
+            yield from loose(start)
+            junk = limit
+            if last:
+                yield Piece(lo + start, lo + limit, reason="cut off"), data[start:limit]
+            break
+        n, _, elapsed, sequence = HEADER.unpack_from(data, start + len(MAGIC))
+        if lo + place > a:
+            yield from loose(start)
+            reason = "fewer than two samples" if n < 2 else "no elapsed time" if not elapsed else None
+            yield Piece(lo + start, lo + place, n, elapsed, sequence, reason), data[start:place]
+        junk = max(junk, place)
+    yield from loose(limit)
