@@ -1,4 +1,7 @@
-"""Checks that decide which input is refused, each one aggregate over its table."""
+"""Checks of whole tables before work begins, each one aggregate.
+
+The operators themselves refuse the same input as they read it (align.refused), without a job
+of its own; these say so at once."""
 
 from __future__ import annotations
 
@@ -6,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .align import grid
+from . import align
 from .sessions import KEY
 
 
 def unusable(name: str) -> Column:
     """Null, NaN or infinite."""
-    return F.col(name).isNull() | F.isnan(name) | (F.abs(F.col(name)) == float("inf"))
+    return align.unusable(F.col(name))
 
 
 def _refuse(found, texts: dict[str, str]) -> None:
@@ -38,7 +41,7 @@ def check_spectra(psd: DataFrame) -> DataFrame:
 
 def check_grid(psd: DataFrame, axis: str | None = None) -> DataFrame:
     """psd, or ValueError: two grid frequencies at least inside the common range of every capture."""
-    per = grid(psd, axis).groupBy("capture_id").agg(F.count("*").alias("bins"))
+    per = align.grid(psd, axis).groupBy("capture_id").agg(F.count("*").alias("bins"))
     wrong = psd.select("capture_id").distinct().join(per, "capture_id", "left").where("coalesce(bins, 0) < 2")
     if wrong.limit(1).count():
         raise ValueError("the common range of the sessions holds fewer than two grid frequencies")

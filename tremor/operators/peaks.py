@@ -6,19 +6,28 @@ power and session peaks, stability, one peak for a bin.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .align import decibels, in_bands, noise_floor
+from .align import decibels, in_bands, noise_floor, refused, unusable
+from .checks import check_bands
 
 SLICE = ("capture_id", "axis", "band_ix")
 
 
 def band_slices(stats: DataFrame, bands: DataFrame) -> DataFrame:
-    """Bins by band with db, the median in decibels; bands of one bin are left out."""
+    """Bins by band with db, the median in decibels; bands of one bin are left out.
+
+    A median or frequency that is missing, not finite or negative is an error."""
     size = F.count("*").over(W.partitionBy(*SLICE))
-    return in_bands(stats, bands).withColumn("db", decibels(F.col("median"))).withColumn("_n", size).where("_n >= 2").drop("_n")
+    wrong = F.when(unusable(F.col("median")) | (F.col("median") < 0), "a median is missing, not finite or negative").when(
+        unusable(F.col("freq")), "a frequency is missing or not finite"
+    )
+    median = refused(wrong, F.col("median"), "double")
+    return in_bands(stats, bands).withColumn("db", decibels(median)).withColumn("_n", size).where("_n >= 2").drop("_n")
 
 
 def local_maxima(slices: DataFrame) -> DataFrame:
@@ -39,39 +48,67 @@ def resolution(stats: DataFrame) -> DataFrame:
     return stats.groupBy("capture_id").agg((at(1) - at(0)).alias("resolution"))
 
 
+def keep_apart(at: np.ndarray, height: np.ndarray, distance: float) -> np.ndarray:
+    """Which of the maxima at rising places stay: from the highest down (ties: the higher place
+    first), each drops those nearer than the distance.
+
+    Only neighbours of one that stays are looked at, so a run of maxima that a gap of the
+    distance or more sets apart is settled by itself, in time linear in its length but for the sort."""
+    stays = np.ones(len(at), bool)
+    for k in np.lexsort((-at, -height)):
+        if stays[k]:
+            stays[np.searchsorted(at, at[k] - distance, side="right") : k] = False
+            stays[k + 1 : np.searchsorted(at, at[k] + distance)] = False
+    return stays
+
+
 def spaced(maxima: DataFrame, stats: DataFrame, bands: DataFrame) -> DataFrame:
     """Maxima from the highest down (ties: the higher bin first), each dropping those nearer than the band's distance."""
-    ordered = F.sort_array(F.collect_list(F.struct("db", "bin")), asc=False)
-    lists = maxima.groupBy(*SLICE).agg(ordered.alias("all"))
-    distance = F.greatest(F.floor(F.col("min_distance_hz") / F.col("resolution")), F.lit(1))
-    wide = lists.join(F.broadcast(bands.select("band_ix", "min_distance_hz")), "band_ix").join(F.broadcast(resolution(stats)), "capture_id")
-    kept = F.aggregate(
-        "all",
-        F.array().cast("array<struct<db:double,bin:int>>"),
-        lambda got, p: F.when(F.exists(got, lambda q: F.abs(q["bin"] - p["bin"]) < F.col("_d")), got).otherwise(F.concat(got, F.array(p))),
-    )
-    return wide.withColumn("_d", distance).select(*SLICE, F.explode(kept).alias("p")).select(*SLICE, "p.bin", "p.db")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        return pdf[keep_apart(pdf["bin"].to_numpy(), pdf["db"].to_numpy(), pdf["distance"].iloc[0])][[*SLICE, "bin", "db"]]
+
+    distance = F.greatest(F.floor(F.col("min_distance_hz") / F.col("resolution")), F.lit(1)).cast("double")
+    wide = maxima.join(F.broadcast(bands.select("band_ix", "min_distance_hz")), "band_ix").join(resolution(stats), "capture_id")
+    schema = ", ".join(f"{c} {kind}" for c, kind in maxima.select(*SLICE, "bin", "db").dtypes)
+    return wide.select(*SLICE, "bin", "db", distance.alias("distance")).groupBy(*SLICE).applyInPandas(run, schema)
+
+
+def walls(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place its lowest level, and where that is nearest, going left until a level is higher.
+
+    A stack of falling levels holds the places that can still be a wall; a place takes over what
+    the places it pushes off have found, so each is looked at twice at most."""
+    low, base = level.astype(float).copy(), np.arange(len(level))
+    stack: list[int] = []
+    for i, x in enumerate(level):
+        while stack and level[stack[-1]] <= x:
+            k = stack.pop()
+            if low[k] < low[i]:
+                low[i], base[i] = low[k], base[k]
+        stack.append(i)
+    return low, base
 
 
 def prominences(peaks: DataFrame, slices: DataFrame) -> DataFrame:
     """peaks with prominence, left_base, right_base, seen inside the slice only."""
-    key = [*SLICE, "bin"]
-    points = slices.select(*SLICE, F.col("bin").alias("at"), F.col("db").alias("level"))
-    near = peaks.join(points, list(SLICE))
-    walls = near.groupBy(*key, "db").agg(
-        F.max(F.when((F.col("at") < F.col("bin")) & (F.col("level") > F.col("db")), F.col("at"))).alias("left_wall"),
-        F.min(F.when((F.col("at") > F.col("bin")) & (F.col("level") > F.col("db")), F.col("at"))).alias("right_wall"),
-    )
-    inside = walls.join(points, list(SLICE)).where("(left_wall is null or at > left_wall) and (right_wall is null or at < right_wall)")
-    left, right = F.col("at") <= F.col("bin"), F.col("at") >= F.col("bin")
-    order = F.struct("level", F.abs(F.col("at") - F.col("bin")))
-    found = inside.groupBy(*key, "db").agg(
-        F.min(F.when(left, F.col("level"))).alias("left_min"),
-        F.min(F.when(right, F.col("level"))).alias("right_min"),
-        F.min_by("at", F.when(left, order)).alias("left_base"),
-        F.min_by("at", F.when(right, order)).alias("right_base"),
-    )
-    return found.select(*key, "db", (F.col("db") - F.greatest("left_min", "right_min")).alias("prominence"), "left_base", "right_base")
+
+    def run(peaks: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
+        slices = slices.sort_values("bin")
+        bins, level = slices["bin"].to_numpy(), slices["db"].to_numpy()
+        at = np.searchsorted(bins, peaks["bin"].to_numpy())
+        left, left_at = walls(level)
+        right, right_at = (x[::-1] for x in walls(level[::-1]))
+        lowest = np.maximum(left, right)[at]
+        bases = {"left_base": bins[left_at[at]], "right_base": bins[len(bins) - 1 - right_at[at]]}
+        return peaks[[*SLICE, "bin", "db"]].assign(prominence=level[at] - lowest, **bases)
+
+    kinds = dict(slices.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in SLICE) + f", bin {kinds['bin']}, db double, prominence double, left_base {kinds['bin']}, right_base {kinds['bin']}"
+    own = [f"slice_{c}" for c in SLICE]  # names of its own, as peaks may come from the same rows
+    points = slices.select(*(F.col(c).alias(n) for c, n in zip(SLICE, own, strict=True)), F.col("bin").alias("bin"), F.col("db").alias("db"))
+    return peaks.select(*SLICE, "bin", "db").groupBy(*SLICE).cogroup(points.groupBy(*own)).applyInPandas(run, schema)
 
 
 def session_windows(centres: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -83,7 +120,9 @@ def session_windows(centres: DataFrame, aligned: DataFrame) -> DataFrame:
     w = W.partitionBy("capture_id", "axis", "session_id").orderBy("bin")
     f0, f1 = F.lag("freq").over(w), F.lead("freq").over(w)
     width = F.when(f0.isNull(), f1 - F.col("freq")).when(f1.isNull(), F.col("freq") - f0).otherwise((f1 - f0) / 2)
-    points = aligned.select("capture_id", "axis", "session_id", F.col("bin").alias("at"), F.col("freq").alias("f"), "psd", width.alias("width"))
+    wrong = F.when(unusable(F.col("psd")) | (F.col("psd") < 0), "a power is missing, not finite or negative")
+    power = refused(wrong, F.col("psd"), "double").alias("psd")
+    points = aligned.select("capture_id", "axis", "session_id", F.col("bin").alias("at"), F.col("freq").alias("f"), power, width.alias("width"))
     inside = centres.join(points, ["capture_id", "axis"]).where("f between freq - frequency_tolerance_hz and freq + frequency_tolerance_hz")
     key = [*SLICE, "bin", "session_id"]
     v = W.partitionBy(*key).orderBy("at")
@@ -105,25 +144,36 @@ def diagnostics(windows: DataFrame) -> DataFrame:
         F.stddev_pop(f).alias("frequency_std_hz"),
         F.min(f).alias("minimum_session_frequency"),
         F.max(f).alias("maximum_session_frequency"),
+        F.count(F.lit(1)).alias("window_sessions"),
     )
 
 
 def find_peaks(stats: DataFrame, aligned: DataFrame, bands: DataFrame) -> DataFrame:
-    """The peaks of all bands, one for a bin: the more prominent, then the first band's."""
+    """The peaks of all bands, one for a bin: the more prominent, then the first band's.
+
+    Bands that may not be (`check_bands`) are refused at once; statistics or spectra that are
+    missing, not finite or negative, and bins that only one of the two has, make reading an error."""
     key = [*SLICE, "bin"]
+    check_bands(bands)
     slices = band_slices(stats, bands)
+    counted = ["sessions"] if "sessions" in stats.columns else []
     shaped = prominences(spaced(local_maxima(slices), stats, bands), slices)
     wide = (
         shaped.join(F.broadcast(bands), "band_ix")
         .where("prominence >= prominence_db")
-        .join(stats.select("capture_id", "axis", "bin", "freq", F.col("median").alias("amplitude")), ["capture_id", "axis", "bin"])
+        .join(stats.select("capture_id", "axis", "bin", "freq", F.col("median").alias("amplitude"), *counted), ["capture_id", "axis", "bin"])
     )
     loud = (
         wide.join(noise_floor(wide, stats, key), key)
         .withColumn("local_snr_db", decibels(F.col("amplitude")) - decibels(F.col("floor")))
         .where("local_snr_db >= min_snr_db")
     )
-    stable = loud.join(diagnostics(session_windows(loud, aligned)), key).where("window_power_stability >= min_stability")
+    told = loud.join(diagnostics(session_windows(loud, aligned)), key, "left")
+    wrong = F.when(F.col("window_power_stability").isNull(), "statistics and spectra must have the same bins")
+    if counted:
+        wrong = wrong.when(F.col("sessions") != F.col("window_sessions"), "statistics and spectra must have the same sessions")
+    told = told.withColumn("window_power_stability", refused(wrong, F.col("window_power_stability"), "double"))
+    stable = told.where("window_power_stability >= min_stability")
     best = F.row_number().over(W.partitionBy("capture_id", "axis", "bin").orderBy(F.desc("prominence"), "band_ix"))
     return stable.withColumn("_best", best).where("_best = 1").select(
         "capture_id", "axis", "bin", "band_ix", F.col("freq").alias("frequency"), "amplitude", "window_power_stability",

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .order import Ordered
+
 KEY = ("capture_id", "axis", "session_id")
 
 
@@ -18,12 +20,17 @@ def by_axis(packets: DataFrame) -> DataFrame:
     return packets.select("capture_id", "arrival_ix", "fs", axes.alias("axis", "values"))
 
 
-def assign_sessions(packets: DataFrame, packets_per_session: int) -> DataFrame:
-    """session_id from 1: every packets_per_session packets in order of arrival; a rest is dropped."""
-    turn = F.row_number().over(W.partitionBy("capture_id", "axis").orderBy("arrival_ix")) - 1
-    numbered = packets.withColumn("session_id", (F.floor(turn / packets_per_session) + 1).cast("int"))
+def assign_sessions(packets: DataFrame, packets_per_session: int, numbered: bool = False) -> DataFrame:
+    """session_id from 1: every packets_per_session packets in order of arrival; a rest is dropped.
+
+    numbered: arrival_ix counts an axis's packets from 0 without gaps, as read_captures gives it, so
+    a session follows from it; else packets are first put in order (`Ordered`)."""
+    turn = F.col("arrival_ix")
+    if not numbered:
+        packets, turn = Ordered(packets, ["capture_id", "axis"], ["arrival_ix"]).placed("_turn"), F.col("_turn")
+    with_session = packets.withColumn("session_id", (F.floor(turn / packets_per_session) + 1).cast("int")).drop("_turn")
     whole = F.count("*").over(W.partitionBy(*KEY)) == packets_per_session
-    return numbered.withColumn("_whole", whole).where("_whole").drop("_whole")
+    return with_session.withColumn("_whole", whole).where("_whole").drop("_whole")
 
 
 def demeaned(values: Column) -> Column:
@@ -47,9 +54,9 @@ def samples(signal_rows: DataFrame) -> DataFrame:
 
 def progress(packets: DataFrame) -> DataFrame:
     """Running packet count, mean fs and duration (by the latest packet's length) after each packet."""
-    w = W.partitionBy("capture_id", "axis").orderBy("arrival_ix")
-    count, fs = F.count("*").over(w), F.avg("fs").over(w)
-    return packets.select("capture_id", "axis", "arrival_ix", count.alias("packets"), fs.alias("mean_fs"), (count * F.size("values") / fs).alias("duration"))
+    running = Ordered(packets, ["capture_id", "axis"], ["arrival_ix"]).running("_turn", _fs="fs")
+    count, fs = F.col("_turn") + 1, F.col("_fs") / (F.col("_turn") + 1)
+    return running.select("capture_id", "axis", "arrival_ix", count.alias("packets"), fs.alias("mean_fs"), (count * F.size("values") / fs).alias("duration"))
 
 
 def enough_sessions(sessions: DataFrame, least: int) -> DataFrame:

@@ -7,12 +7,16 @@ Bands share an edge.  Computed doubles are rounded, the median before peaks are
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tremor.config import Band, bands_table, limits
 from tremor.operators import align, peaks, sessions, spectral, view
+from tremor.operators.order import Ordered
+from tremor.storage import written
 
 PACKET, PACKETS, NPERSEG, NOVERLAP = 16, 8, 64, 32
 BANDS = (
@@ -24,8 +28,7 @@ BANDS = (
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
-    turn = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    placed = events.withColumn("g", turn).groupBy(F.col("event_type").alias("axis"), F.floor(F.col("g") / PACKET).alias("arrival_ix"))
+    placed = Ordered(events, ["event_type"], ["ts", "event_id"]).placed("g").groupBy(F.col("event_type").alias("axis"), F.floor(F.col("g") / PACKET).alias("arrival_ix"))
     ordered = placed.agg(F.array_sort(F.collect_list(F.struct("g", "value"))).alias("rows"))
     return ordered.where(F.size("rows") == PACKET).select(
         F.lit("events").alias("capture_id"), "axis", "arrival_ix", F.lit(float(NPERSEG)).alias("fs"), F.transform("rows", lambda r: r["value"]).alias("values")
@@ -33,55 +36,59 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Run:
-    """The stages over one folder of tables, lazily."""
+    """The stages over one folder of tables; those that others read several times are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.bands = bands_table(spark, BANDS)
 
-    @property
+    @cached_property
     def packets(self) -> DataFrame:
         return _packets(self.spark, self.dir)
 
-    @property
+    @cached_property
     def session_packets(self) -> DataFrame:
-        return sessions.assign_sessions(self.packets, PACKETS)
+        return sessions.assign_sessions(self.packets, PACKETS, numbered=True)
 
-    @property
+    @cached_property
     def signals(self) -> DataFrame:
         return sessions.signals(self.session_packets)
 
-    @property
+    @cached_property
     def psd(self) -> DataFrame:
         return spectral.welch(self.signals, NPERSEG, NOVERLAP, *limits(BANDS))
 
-    @property
+    @cached_property
     def aligned(self) -> DataFrame:
         # sessions are counted axis by axis here, so each axis is a capture of its own grid
         return self.psd.select("capture_id", "axis", "session_id", (F.col("bin") - 1).alias("bin"), "freq", F.round("psd", 9).alias("psd"))
 
-    @property
+    @cached_property
     def stats(self) -> DataFrame:
-        return align.bin_stats(self.aligned).withColumn("median", F.round("median", 6))
+        return written(align.bin_stats(self.aligned).withColumn("median", F.round("median", 6)), "stats")
+
+    @cached_property
+    def grid_bands(self) -> DataFrame:
+        return view.bands_on_grid(self.stats, self.bands)
 
-    @property
+    @cached_property
     def slices(self) -> DataFrame:
         return peaks.band_slices(self.stats, self.bands)
 
-    @property
+    @cached_property
     def spaced(self) -> DataFrame:
         return peaks.spaced(peaks.local_maxima(self.slices), self.stats, self.bands)
 
-    @property
+    @cached_property
     def prominences(self) -> DataFrame:
         return peaks.prominences(self.spaced, self.slices)
 
-    @property
+    @cached_property
     def centres(self) -> DataFrame:
         freq = self.stats.select("capture_id", "axis", "bin", "freq", F.col("median").alias("amplitude"))
         return self.prominences.join(F.broadcast(self.bands), "band_ix").join(freq, ["capture_id", "axis", "bin"])
 
-    @property
+    @cached_property
     def found(self) -> DataFrame:
         return peaks.find_peaks(self.stats, self.aligned, self.bands)
 
@@ -90,8 +97,12 @@ def _r(*names: str, digits: int = 6) -> list:
     return [F.round(n, digits).alias(n) for n in names]
 
 
-def _hann(periodic: bool):
-    return lambda spark, d: spark.range(NPERSEG).select(F.col("id").alias("i"), F.round(spectral.hann(F.col("id"), NPERSEG, periodic), 9).alias("w"))
+def _hann(r: _Run, periodic: bool) -> DataFrame:
+    """A window over the first segment of each session's signal, its sum and the sum of the signal under it."""
+    first = sessions.samples(r.signals).where(F.col("i") < NPERSEG).withColumn("w", spectral.hann(F.col("i"), NPERSEG, periodic))
+    of_session = W.partitionBy(*sessions.KEY)
+    sums = {"total": F.sum("w").over(of_session), "windowed_sum": F.sum(F.col("value") * F.col("w")).over(of_session)}
+    return first.withColumns(sums).select("axis", "session_id", "i", *_r("w", "total", digits=9), *_r("windowed_sum"))
 
 
 def _embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +127,15 @@ def queries() -> dict:
         "packet_progress": one(lambda r: sessions.progress(r.packets).select("axis", "arrival_ix", "packets", "mean_fs", "duration")),
         "recommended_sessions": one(lambda r: sessions.enough_sessions(r.session_packets, 5).select("axis", "sessions", "recommended")),
         "demean": one(lambda r: sessions.samples(r.signals).select("axis", "session_id", "i", *_r("value", digits=10))),
-        "hann_symmetric": _hann(False),
-        "hann_periodic": _hann(True),
+        "hann_symmetric": one(lambda r: _hann(r, False)),
+        "hann_periodic": one(lambda r: _hann(r, True)),
         "fft_amplitude": one(lambda r: spectral.fft(r.signals).select("axis", "session_id", "bin", *_r("freq", "amplitude"))),
         "average_fft": one(lambda r: spectral.average_fft(r.signals, NPERSEG, NOVERLAP).select("axis", "session_id", "bin", *_r("freq", "amplitude"))),
         "welch_psd": one(lambda r: r.psd.select("axis", "session_id", "bin", *_r("freq", "psd"))),
         "resolutions": one(lambda r: spectral.resolutions(r.signals, NPERSEG).select("axis", "session_id", "fft_resolution", "psd_resolution")),
-        "band_limits": one(lambda r: r.bands.agg(F.min("min_frequency").alias("low"), F.max("max_frequency").alias("high"))),
-        "band_edges": one(lambda r: view.band_edges(r.bands)),
-        "band_labels": one(lambda r: view.band_labels(r.bands)),
+        "band_limits": one(lambda r: view.band_limits(r.grid_bands).drop("capture_id")),
+        "band_edges": one(lambda r: view.band_edges(r.grid_bands).drop("capture_id")),
+        "band_labels": one(lambda r: view.band_labels(r.grid_bands).drop("capture_id")),
         "band_assign_all": one(lambda r: align.in_bands(r.stats, r.bands).select("axis", "bin", "band_ix", "freq")),
         "band_assign_first": one(lambda r: align.first_band(r.stats, r.bands).select("axis", "bin", "band_ix", "freq")),
         "common_range": one(lambda r: align.common_range(r.psd).select("low", "high")),
@@ -245,6 +256,8 @@ def _dft(window: str, size: int, source: str, by: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    hann = lambda w: f"""SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(i AS INTEGER) AS i, round({w}, 9) AS w,
+  round(sum({w}) OVER (PARTITION BY axis, session_id), 9) AS total, round(sum(v * {w}) OVER (PARTITION BY axis, session_id), 6) AS windowed_sum FROM dem WHERE i < {NPERSEG}"""
     sym = lambda m, i: f"(0.5 - 0.5 * cos(2 * pi() * {i} / {m - 1}))"
     jitter = """, jit AS MATERIALIZED (SELECT axis, session_id, freq * (1 + session_id % 3 / 100) AS freq, psd FROM psd),
 rng AS (SELECT max(a) AS lo, min(e) AS hi FROM (SELECT min(freq) AS a, max(freq) AS e FROM jit GROUP BY axis, session_id) t),
@@ -258,17 +271,17 @@ br AS (SELECT axis, session_id, freq AS f0, psd AS p0, lead(freq) OVER w AS f1,
         "packet_progress": f"SELECT axis, arrival_ix, arrival_ix + 1 AS packets, {NPERSEG}.0::DOUBLE AS mean_fs, (arrival_ix + 1) * {PACKET} / {NPERSEG}.0::DOUBLE AS duration FROM pk",
         "recommended_sessions": f"SELECT axis, count(*) // {_L} AS sessions, count(*) // {_L} >= 5 AS recommended FROM ev GROUP BY axis HAVING count(*) >= {_L}",
         "demean": "SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(i AS INTEGER) AS i, round(v, 10) AS value FROM dem",
-        "hann_symmetric": f"SELECT i, round({sym(NPERSEG, 'i')}, 9) AS w FROM range({NPERSEG}) t(i)",
-        "hann_periodic": f"SELECT i, round(0.5 - 0.5 * cos(2 * pi() * i / {NPERSEG}), 9) AS w FROM range({NPERSEG}) t(i)",
+        "hann_symmetric": hann(sym(NPERSEG, "i")),
+        "hann_periodic": hann(f"(0.5 - 0.5 * cos(2 * pi() * i / {NPERSEG}))"),
         "fft_amplitude": f"SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(k AS INTEGER) AS bin, round(k * {NPERSEG} / {_L}::DOUBLE, 6) AS freq, round(a, 6) AS amplitude FROM ("
         + _dft(sym(_L, "j"), _L, "(SELECT axis, session_id, i AS j, v FROM dem) d", "") + ") x",
         "average_fft": "SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(k AS INTEGER) AS bin, CAST(k AS DOUBLE) AS freq, round(avg(a), 6) AS amplitude FROM ("
         + _dft(sym(NPERSEG, "j"), NPERSEG, "seg", ", s") + ") x GROUP BY axis, session_id, k",
         "welch_psd": "SELECT axis, CAST(session_id AS INTEGER) AS session_id, bin, freq, round(psd, 6) AS psd FROM psd",
         "resolutions": f"SELECT DISTINCT axis, CAST(session_id AS INTEGER) AS session_id, {NPERSEG / _L}::DOUBLE AS fft_resolution, 1.0::DOUBLE AS psd_resolution FROM smp",
-        "band_limits": "SELECT min(lo) AS low, max(hi) AS high FROM bands",
-        "band_edges": "SELECT lo AS edge FROM bands UNION SELECT hi FROM bands ORDER BY edge",
-        "band_labels": "SELECT band_ix, name, (lo + hi) / 2 AS position FROM bands",
+        "band_limits": "SELECT axis, min(freq) AS low, max(freq) AS high FROM inb GROUP BY axis",
+        "band_edges": "SELECT axis, min(freq) AS edge FROM inb GROUP BY axis, band_ix UNION SELECT axis, max(freq) FROM inb GROUP BY axis, band_ix",
+        "band_labels": "SELECT axis, band_ix, name, (min(freq) + max(freq)) / 2 AS position FROM inb GROUP BY axis, band_ix, name",
         "band_assign_all": "SELECT axis, bin, band_ix, freq FROM inb",
         "band_assign_first": "SELECT axis, bin, band_ix, freq FROM firstb UNION ALL SELECT axis, bin, NULL, freq FROM stats WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE freq BETWEEN b.lo AND b.hi)",
         "common_range": "SELECT max(a) AS low, min(e) AS high FROM (SELECT min(freq) AS a, max(freq) AS e FROM psd GROUP BY axis, session_id) t",
