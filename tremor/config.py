@@ -41,17 +41,17 @@ class Settings:
 
 def _integer(value, what: str, least: int) -> None:
     if type(value) is not int or value < least:
-        raise ValueError(f"{what} must be {'a positive' if least else 'a non-negative'} integer")
+        raise ValueError(f"{what} is {value!r}; set a whole number of {least} or more")
 
 
 def _number(value, what: str) -> None:
     if type(value) not in (int, float) or not math.isfinite(value):
-        raise ValueError(f"{what} must be a finite number")
+        raise ValueError(f"{what} is {value!r}; set a number other than NaN and infinity")
 
 
 def _name(value, what: str) -> None:
     if not isinstance(value, str) or not value.strip():
-        raise ValueError(f"{what} must be a non-empty string")
+        raise ValueError(f"{what} is {value!r}; give it a text that is not blank")
 
 
 def check(s: Settings) -> Settings:
@@ -60,25 +60,25 @@ def check(s: Settings) -> Settings:
     _integer(s.baud, "baud", 1)
     _number(s.timeout_seconds, "timeout_seconds")
     if s.timeout_seconds < 0:
-        raise ValueError("timeout_seconds must be non-negative")
+        raise ValueError(f"timeout_seconds is {s.timeout_seconds}; set 0 for no wait, or more")
     for field in ("packets_per_session", "min_recommended_sessions", "nperseg"):
         _integer(getattr(s, field), field, 1)
     _integer(s.noverlap, "noverlap", 0)
     if s.noverlap >= s.nperseg:
-        raise ValueError("noverlap must be less than nperseg")
+        raise ValueError(f"segments of {s.nperseg} samples cannot share {s.noverlap}; lower noverlap or raise nperseg")
     if not s.bands:
-        raise ValueError("At least one analysis band is required")
+        raise ValueError("no band to look for peaks in; add one to analysis.bands")
     for b in s.bands:
         _name(b.name, "band name")
         for field, value in asdict(b).items():
             if field != "name":
                 _number(value, f"band {b.name!r}: {field}")
                 if value < 0:
-                    raise ValueError(f"band {b.name!r}: {field} must be non-negative")
+                    raise ValueError(f"band {b.name!r}: {field} is {value}; set 0 or more")
         if b.max_frequency <= b.min_frequency:
-            raise ValueError(f"band {b.name!r}: max_frequency must be greater than min_frequency")
+            raise ValueError(f"band {b.name!r} ends at {b.max_frequency} Hz, where it begins or before; raise max_frequency")
         if b.noise_window_hz <= b.frequency_tolerance_hz:
-            raise ValueError(f"band {b.name!r}: noise_window_hz must be positive and greater than frequency_tolerance_hz")
+            raise ValueError(f"band {b.name!r}: noise is sought beyond frequency_tolerance_hz; set noise_window_hz above {b.frequency_tolerance_hz}")
     return s
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,7 +18,8 @@ from pyspark.sql.window import Window as W
 from tremor.config import Band, bands_table, limits
 from tremor.operators import align, peaks, sessions, spectral, view
 from tremor.operators.order import Ordered
-from tremor.storage import written
+from tremor.sources import wire
+from tremor.storage import shared_dir, written
 
 PACKET, PACKETS, NPERSEG, NOVERLAP = 16, 8, 64, 32
 BANDS = (
@@ -35,6 +38,48 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Packets of a capture file, bytes of a range when it is read, and what stands between its frames.
+CAPTURE, RANGE, JUNK = 64, 5000, b"noise V..."
+
+
+def _captures(packets: DataFrame) -> str:
+    """The folder of capture files of the packets: counts of x, minus x and twice x.
+
+    After some packets a malformed frame or bytes of no frame follow, and each file ends in a cut frame."""
+    root = shared_dir(packets.sparkSession)
+    store, folder = wire._store(root)
+    store.create_dir(folder)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, out = f"{pdf['axis'].iloc[0]}-{pdf['chunk'].iloc[0]}", []
+        for arrival, values in pdf.sort_values("arrival_ix")[["arrival_ix", "values"]].itertuples(index=False, name=None):
+            x = np.rint(np.asarray(values) * 100).astype(np.int64)
+            frame = wire.encode(x, -x, 2 * x, ELAPSED, arrival)
+            idle = {3: wire.encode([1], [1], [1], 5), 5: wire.encode(x, x, x, 0), 7: JUNK}
+            out += [frame, idle.get(arrival % 10, b"")]
+        store, folder = wire._store(root)
+        with store.open_output_stream(f"{folder}/{name}") as f:
+            f.write(b"".join(out) + frame[:-5])
+        return pd.DataFrame({"capture": [name], "packets": [len(pdf)]})
+
+    chunked = packets.select("axis", F.floor(F.col("arrival_ix") / CAPTURE).alias("chunk"), "arrival_ix", "values")
+    written(chunked.groupBy("axis", "chunk").applyInPandas(write, "capture string, packets long"), "captures")
+    return root
+
+
+#: Microseconds of a packet of PACKET samples at NPERSEG a second.
+ELAPSED = (PACKET - 1) * 1_000_000 // NPERSEG
+
+
+def _captured_packets(r: _Run) -> DataFrame:
+    sums = [F.round(F.aggregate(a, F.lit(0.0), lambda t, v: t + v), 12).alias(f"{a}_sum") for a in "xyz"]
+    return wire.read_captures(r.spark, _captures(r.packets), range_bytes=RANGE).select("capture_id", "arrival_ix", "n", "elapsed_us", "sequence", F.round("fs", 9).alias("fs"), *sums)
+
+
+def _captured_rest(r: _Run) -> DataFrame:
+    return wire.quarantine(r.spark, _captures(r.packets), range_bytes=RANGE).groupBy("capture_id", "reason").agg(F.sum("length").alias("bytes"))
+
+
 class _Run:
     """The stages over one folder of tables; those that others read several times are written once."""
 
@@ -93,6 +138,20 @@ class _Run:
         return peaks.find_peaks(self.stats, self.aligned, self.bands)
 
 
+class _Uneven(_Run):
+    """Packets whose sampling rate changes from one to the next, so sessions have rates of their own
+    and their spectra have to be put on one grid, that of the first session of the first axis."""
+
+    @cached_property
+    def packets(self) -> DataFrame:
+        session, turn = F.floor(F.col("arrival_ix") / PACKETS), F.col("arrival_ix") % PACKETS
+        return super().packets.withColumn("fs", NPERSEG * (1 + session % 3 / 100 + turn / 1000))
+
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return align.align(self.psd).withColumn("psd", F.round("psd", 9)).withColumn("freq", F.round("freq", 9))
+
+
 def _r(*names: str, digits: int = 6) -> list:
     return [F.round(n, digits).alias(n) for n in names]
 
@@ -121,7 +180,14 @@ def _jittered(r: _Run) -> DataFrame:
 
 def queries() -> dict:
     one = lambda f: lambda spark, d: f(_Run(spark, d))
+    uneven = lambda f: lambda spark, d: f(_Uneven(spark, d))
     return {
+        "captured_packets": one(_captured_packets),
+        "captured_rest": one(_captured_rest),
+        "uneven_sessions": uneven(lambda r: r.signals.select("axis", "session_id", *_r("fs", "duration", digits=9), "samples")),
+        "uneven_stats": uneven(lambda r: r.stats.select("axis", "bin", *_r("freq"), "sessions", "median", *_r("mean", "std", "stability", digits=5))),
+        "uneven_peaks": uneven(lambda r: r.found.select("axis", "bin", "band_ix", *_r("frequency"), "amplitude", *_r("window_power_stability", "local_snr_db", "prominence", "mean_session_frequency", digits=5))),
+        "one_session_stats": one(lambda r: align.bin_stats(r.aligned.where("session_id = 1")).select("axis", "bin", "freq", "sessions", *_r("median", "mean"), "std", "stability")),
         "session_windows": one(lambda r: r.session_packets.groupBy("axis", "session_id").agg(F.min("arrival_ix").alias("first_packet"), F.count("*").alias("packets"))),
         "session_signals": one(lambda r: r.signals.select("axis", "session_id", "fs", "samples", "duration")),
         "packet_progress": one(lambda r: sessions.progress(r.packets).select("axis", "arrival_ix", "packets", "mean_fs", "duration")),
@@ -174,7 +240,7 @@ _BANDS = ", ".join(
 )
 _TINY = "2.2250738585072014e-308"
 #: Named parts; each may use those before it.
-_PARTS = {
+PARTS = {
     "bands": f"bands(band_ix, name, lo, hi, prom, dist, stab, tol, noise, snr) AS (VALUES {_BANDS})",
     "ev": "ev AS (SELECT event_type AS axis, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS g FROM events)",
     "pk": f"pk AS (SELECT axis, g // {PACKET} AS arrival_ix, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) = {PACKET})",
@@ -235,19 +301,36 @@ _PARTS = {
 }
 
 
-def _sql(select: str) -> str:
+#: The same parts over sessions of unequal rates.
+_UNEVEN = {
+    "rate": f"rate AS (SELECT axis, session_id, avg({NPERSEG} * (1 + (session_id - 1) % 3 / 100 + i // {PACKET} / 1000)) AS fs, count(*) AS samples FROM smp GROUP BY axis, session_id)",
+    "jit": f"jit AS MATERIALIZED (SELECT p.axis, p.session_id, p.bin * r.fs / {NPERSEG} AS freq, p.psd * {NPERSEG} / r.fs AS psd FROM psd p JOIN rate r USING (axis, session_id) WHERE p.bin * r.fs / {NPERSEG} BETWEEN 1 AND 31)",
+    "rng": "rng AS (SELECT max(a) AS lo, min(e) AS hi FROM (SELECT min(freq) AS a, max(freq) AS e FROM jit GROUP BY axis, session_id) t)",
+    "grid": """grid AS (SELECT freq, row_number() OVER (ORDER BY freq) - 1 AS bin FROM jit, rng
+  WHERE (axis, session_id) = (SELECT (axis, session_id) FROM jit ORDER BY axis, session_id LIMIT 1) AND freq BETWEEN lo AND hi)""",
+    "br": "br AS (SELECT axis, session_id, freq AS f0, psd AS p0, lead(freq) OVER w AS f1, lead(psd) OVER w AS p1 FROM jit WINDOW w AS (PARTITION BY axis, session_id ORDER BY freq))",
+    "aligned": """aligned AS MATERIALIZED (SELECT axis, session_id, CAST(bin AS INTEGER) AS bin, round(freq, 9) AS freq,
+  round(CASE WHEN freq = f0 THEN p0 ELSE p0 + (p1 - p0) / (f1 - f0) * (freq - f0) END, 9) AS psd
+  FROM br JOIN grid ON (freq >= f0 AND freq < f1) OR (f1 IS NULL AND freq = f0))""",
+}
+
+
+def _sql(select: str, uneven: bool = False) -> str:
     """WITH all parts that the select needs, directly or through others."""
     import re
 
-    names = list(_PARTS)
+    parts = {}
+    for name, text in PARTS.items():
+        parts |= _UNEVEN if uneven and name == "aligned" else {name: text}
+    names = list(parts)
     need, todo = set(), [select]
     while todo:
         text = todo.pop()
         for n in names:
             if n not in need and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{n}\b", text):
                 need.add(n)
-                todo.append(_PARTS[n])
-    return "WITH " + ",\n".join(_PARTS[n] for n in names if n in need) + "\n" + select if need else select
+                todo.append(parts[n])
+    return "WITH " + ",\n".join(parts[n] for n in names if n in need) + "\n" + select if need else select
 
 
 def _dft(window: str, size: int, source: str, by: str) -> str:
@@ -312,8 +395,23 @@ FROM contrast c LEFT JOIN found f ON f.axis = c.axis AND f.bin = c.bin""",
 FROM contrast c LEFT JOIN firstb t ON t.axis = c.axis AND t.bin = c.bin LEFT JOIN bands b ON b.band_ix = t.band_ix
 LEFT JOIN found f ON f.axis = c.axis AND f.bin = c.bin
 LEFT JOIN prom p ON p.axis = f.axis AND p.bin = f.bin AND p.band_ix = f.band_ix""",
+    }
+    capture, size = f"axis || '-' || arrival_ix // {CAPTURE}", 16 + 12 * PACKET
+    out["captured_packets"] = f"""SELECT {capture} AS capture_id, arrival_ix % {CAPTURE} AS arrival_ix, CAST({PACKET} AS INTEGER) AS n, CAST({ELAPSED} AS BIGINT) AS elapsed_us, arrival_ix AS sequence,
+  round({PACKET - 1} / {ELAPSED} * 1e6, 9) AS fs, round(x / 256000, 12) AS x_sum, round(-x / 256000, 12) AS y_sum, round(2 * x / 256000, 12) AS z_sum
+FROM pk JOIN (SELECT axis, g // {PACKET} AS arrival_ix, sum(round(value * 100)) AS x FROM ev GROUP BY 1, 2) v USING (axis, arrival_ix)"""
+    out["captured_rest"] = f"""SELECT * FROM (
+  SELECT {capture} AS capture_id, unnest(['fewer than two samples', 'no elapsed time', 'no frame', 'cut off']) AS reason,
+    CAST(unnest([count_if(arrival_ix % 10 = 3) * 28, count_if(arrival_ix % 10 = 5) * {size}, count_if(arrival_ix % 10 = 7) * {len(JUNK)}, {size - 5}]) AS BIGINT) AS bytes
+  FROM pk GROUP BY 1) t WHERE bytes > 0"""
+    out["one_session_stats"] = "SELECT axis, bin, freq, count(*) AS sessions, round(avg(psd), 6) AS median, round(avg(psd), 6) AS mean, 0.0::DOUBLE AS std, 0.0::DOUBLE AS stability FROM aligned WHERE session_id = 1 GROUP BY axis, bin, freq"
+    uneven = {
+        "uneven_sessions": "SELECT axis, CAST(session_id AS INTEGER) AS session_id, round(fs, 9) AS fs, round(samples / fs, 9) AS duration, samples FROM rate",
+        "uneven_stats": "SELECT axis, bin, round(freq, 6) AS freq, sessions, median, round(mean, 5) AS mean, round(std, 5) AS std, round(stability, 5) AS stability FROM stat2",
+        "uneven_peaks": """SELECT f.axis, f.bin, f.band_ix, round(frequency, 6) AS frequency, amplitude, round(f.window_power_stability, 5) AS window_power_stability,
+  round(local_snr_db, 5) AS local_snr_db, round(prominence, 5) AS prominence, round(mean_session_frequency, 5) AS mean_session_frequency FROM found f JOIN diag USING (axis, band_ix, bin)""",
     }
     interp = _sql("FROM psd").removesuffix("\nFROM psd") + jitter + """SELECT axis, CAST(session_id AS INTEGER) AS session_id, CAST(bin AS INTEGER) AS bin, round(freq, 6) AS freq,
   round(CASE WHEN freq = f0 THEN p0 ELSE p0 + (p1 - p0) / (f1 - f0) * (freq - f0) END, 6) AS psd
 FROM br JOIN grid ON (freq >= f0 AND freq < f1) OR (f1 IS NULL AND freq = f0)"""
-    return {name: interp if name == "interp_align" else _sql(text) for name, text in out.items()}
+    return {name: interp if name == "interp_align" else _sql(text) for name, text in out.items()} | {name: _sql(text, True) for name, text in uneven.items()}
