@@ -17,7 +17,7 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
 
-def brute(rows):
+def brute(rows, least=2):
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     one, two, three = Counter(), Counter(), Counter()
     for (_, t), h in zip(rows, held, strict=True):
@@ -40,7 +40,7 @@ def brute(rows):
             if k:
                 before = w[k - 2] if k > 1 else "<s>"
                 c, many = two[before, u], three[before, u, x]
-                p = c / (c + 5.0) * (stored(many, c) if many > 1 else 0.0) + 5.0 / (c + 5.0) * p
+                p = c / (c + 5.0) * (stored(many, c) if many >= least else 0.0) + 5.0 / (c + 5.0) * p
             score += math.log10(p)
         out.setdefault(d, []).append((h, len(w), sum(one[x] > 0 for x in w), n, base, score))
     return out
@@ -53,14 +53,14 @@ def corpus():
     return rows + [(None, "the null"), (900, None), (901, ""), (902, "x " * 500), (3, rows[3][1]), (903, "unseen" * 100)]
 
 
-@pytest.mark.parametrize("size", [1 << 21, 300])
-def test_against_brute_force(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "least"), [(1 << 21, 2), (300, 2), (300, 1), (1 << 21, 3)])
+def test_against_brute_force(spark, monkeypatch, size, least):
     rows = corpus()
     monkeypatch.setattr(ngram_lm, "BATCH_TOKENS", size)
     monkeypatch.setattr(ngram_lm, "SHARD_PAIRS", size)
     docs = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, batch int")
-    want = brute(rows)
-    got = ngram_lm.score_texts(docs).collect()
+    want = brute(rows, least)
+    got = ngram_lm.score_texts(docs, min_triple=least).collect()
     assert len(got) == len(rows)
     for g in got:
         assert any(tuple(g)[1:5] == w[:4] and abs(g.base_score - w[4]) < 1e-9 and abs(g.score - w[5]) < 1e-9 for w in want[g.doc_id])

@@ -49,6 +49,7 @@ SHARD_PAIRS = 1 << 20
 SHARDS_A_PART = 2
 HOT_SHARE = 0.1
 PRIOR = 5.0
+#: Triples met less often are not stored, unless score_texts is asked for them.
 MIN_TRIPLE = 2
 END, BEGIN = U(1), U(2)
 
@@ -159,9 +160,9 @@ class _Batch:
         totals = np.append(total, total[np.searchsorted(self.names, END)])
         return _Grams(before << 32 | self.place, np.append(self.names, BEGIN), totals, self.names, shards, limit)
 
-    def triples(self, pairs: _Grams, counts: np.ndarray, shards: int, limit: float) -> tuple[np.ndarray, _Grams]:
+    def triples(self, pairs: _Grams, counts: np.ndarray, shards: int, limit: float, least: int) -> tuple[np.ndarray, _Grams]:
         """Tokens whose triple may be stored, and the triples; counts: training counts of the pairs over the corpus."""
-        often = (counts >= MIN_TRIPLE)[pairs.of]
+        often = (counts >= least)[pairs.of]
         at = np.flatnonzero(~self.first[1:] & often[1:] & often[:-1]) + 1
         name = mix(pairs.names[pairs.context] + mix(self.names[pairs.word] + U(3))) >> U(1)
         return at, _Grams(pairs.of[at - 1] << 32 | self.place[at], name, counts, self.names, shards, limit)
@@ -228,14 +229,14 @@ def _send_pairs(shards: int, limit: float):
     return run
 
 
-def _send_triples(shards: int, limit: float):
+def _send_triples(shards: int, limit: float, least: int):
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
                 x = _Batch(b, r)
                 total = _joined(b, r, "word_answers", "totals", np.int64)
                 counts = _joined(b, r, "pair_answers", "counts", np.uint32).astype(np.int64)
-                at, grams = x.triples(x.pairs(total, shards, limit), counts, shards, limit)
+                at, grams = x.triples(x.pairs(total, shards, limit), counts, shards, limit, least)
                 yield from grams.messages(x.batch, x.train[at])
 
     return run
@@ -263,7 +264,7 @@ def _answer(least: int):
     return run
 
 
-def _score(shards: int, limit: float, n: int, v: int):
+def _score(shards: int, limit: float, n: int, v: int, least: int):
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
@@ -271,7 +272,7 @@ def _score(shards: int, limit: float, n: int, v: int):
                 total = _joined(b, r, "word_answers", "totals", np.int64)
                 pairs = x.pairs(total, shards, limit)
                 counts = _joined(b, r, "pair_answers", "counts", np.uint32).astype(np.int64)
-                at, triples = x.triples(pairs, counts, shards, limit)
+                at, triples = x.triples(pairs, counts, shards, limit, least)
                 unigram = (total + 1.0) / (n + (v + 1.0))
                 c = pairs.totals[pairs.context]
                 weight = c / (c + PRIOR)
@@ -299,12 +300,12 @@ def _score(shards: int, limit: float, n: int, v: int):
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, min_triple: int = MIN_TRIPLE) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
     Texts whose crc32(doc_id as text) modulo folds is held_fold are scored only; all others
-    are learnt from, too.  A null text is empty and has one token, its end; a very long text
+    are learnt from, too.  Triples met min_triple times are stored; at 1 nothing is left out.  A null text is empty and has one token, its end; a very long text
     is one batch; a null doc_id is learnt from; repeated rows count each time; without
     training texts every word is unknown and N is 0; an empty table gives no rows; other
     columns of docs are not read.
@@ -345,11 +346,11 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
         known = stored.join(back(words_.where("batch >= 0"), "word_answers", "totals"), "batch")
         pairs = asked(known.mapInArrow(_send_pairs(shards, limit), message), 1, "pairs")
         counted = known.join(back(pairs, "pair_answers", "counts"), "batch")
-        triples = asked(counted.mapInArrow(_send_triples(shards, limit), message), MIN_TRIPLE, "triples")
+        triples = asked(counted.mapInArrow(_send_triples(shards, limit, min_triple), message), min_triple, "triples")
         known = known.join(back(pairs, "pair_answers", "codes", "counts"), "batch").join(back(triples, "triple_answers", "codes"), "batch", "left")
         scored = keep(
             known.mapInArrow(
-                _score(shards, limit, n, v),
+                _score(shards, limit, n, v, min_triple),
                 "k1 long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
             ),
             "scores",
