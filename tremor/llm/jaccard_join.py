@@ -304,8 +304,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable by links, itself included.  Texts that
     are null or hold no word have no shingles and are linked with nothing; a text of
     fewer than k words is one shingle; equal and repeated rows are linked; a null doc_id
-    takes part and is never the smallest; an empty table gives no rows; other columns of
-    docs are not read.
+    takes part and is never the smallest; a similarity that ties with the limit is a link; a
+    very long text is one set like others, cut into slices on the way; an empty table gives no
+    rows; other columns of docs are not read.
     """
     members, links = similar_sets(docs, k, percent)
     label = connected_components(links.where("linked").select("a", "b"))

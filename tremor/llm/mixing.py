@@ -146,8 +146,9 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
 
     Rows are matched by doc_id, source and size (words).  Rows that agree in all three have
     one share; where their copies do not divide evenly, the rows are numbered and the first
-    ones get one more, so the copies are exactly those of the mix.  Nulls match nulls; an
-    empty table stays empty; columns of any name are kept.
+    ones get one more, so the copies are exactly those of the mix.  Nulls match nulls; texts
+    without words go, as the mix takes none of them; a very long text is one row like others;
+    an empty table stays empty; columns of any name are kept.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rank, words, copies, rows, uid, doc_id, source, of = fresh(docs.columns, "rank", "words", "copies", "rows", "uid", "id_of", "source_of", "size_of")

@@ -21,8 +21,8 @@ count of the context,
     P2(w | u) = l q(w | u) + (1 - l) P0(w),           l = c(u) / (c(u) + PRIOR)
     P3(w | u v) = l q(w | u v) + (1 - l) P2(w | v),   l = c(u v) / (c(u v) + PRIOR)
 
-The first word of a text follows BEGIN.  Triples met once are not stored, as is usual for
-the highest order; so only triples are sent both of whose pairs were met MIN_TRIPLE times,
+The first word of a text follows BEGIN.  Triples met once are not stored, unless asked for, as is usual for
+the highest order; so only triples are sent both of whose pairs were met `min_triple` times,
 as no other can be.  P2 sums to one up to the quantiser; P3 keeps the mass of successors
 met once for words outside the training texts and sums to one at most.
 """
@@ -306,7 +306,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, min_triple:
 
     Texts whose crc32(doc_id as text) modulo folds is held_fold are scored only; all others
     are learnt from, too.  Triples met min_triple times are stored; at 1 nothing is left out.  A null text is empty and has one token, its end; a very long text
-    is one batch; a null doc_id is learnt from; repeated rows count each time; without
+    is one batch; a null doc_id is learnt from; repeated rows count each time, and rows that tie
+    in doc_id are texts of their own; without
     training texts every word is unknown and N is 0; an empty table gives no rows; other
     columns of docs are not read.
     """

@@ -161,7 +161,9 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every live-looking span replaced by [secret]; all columns and rows stay.
 
     n_chars, if there is one, follows the new text; texts without such spans are unchanged;
-    null texts stay null; columns of any name are kept; an empty table stays empty.
+    null and empty texts stay as they are; a very long text is scanned and rewritten as a whole;
+    repeated rows are rewritten alike; of spans that tie or overlap the union goes; columns of any
+    name are kept; an empty table stays empty.
     """
     keyed, key = with_fresh_key(docs)
     (live,) = fresh(keyed.columns, "live")

@@ -257,8 +257,8 @@ def encode(docs: DataFrame, model: str, decoded: bool = True) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_tokens, ids, decoded (null if not wanted).
 
     No begin or end ids, no sampling.  A null or empty text has no ids; a very long text is
-    one batch, and a chunk may be of any length; repeated rows give repeated rows; an empty
-    table gives none; other columns of docs are not read.  model is a path that every
+    one batch, and a chunk may be of any length; of segmentations that tie the library's stands;
+    repeated rows give repeated rows; an empty table gives none; other columns of docs are not read.  model is a path that every
     executor can read.
     """
     return _encoded(docs, model, True, decoded).select(doc_id_of().alias("doc_id"), "n_tokens", "ids", "decoded")
@@ -270,7 +270,11 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text) with the library's decode; null ids are empty."""
+    """(doc_id, ids) -> (doc_id, text) with the library's decode.
+
+    Null and empty ids give an empty text; a null doc_id stays null; a row of any number of ids is
+    decoded as a whole; repeated rows and ties of doc_id give a row each; an empty table gives
+    none; other columns are not read."""
 
     def run(batches):
         sp = codec(model).sp

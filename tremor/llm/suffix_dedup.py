@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     A null text is empty; an empty or shorter text keeps all; a very long text is read in
     slices that overlap by the threshold, with the same result; a null doc_id stays null;
     repeated rows remove each other's windows like any two equal texts; an empty table
-    gives no rows; other columns of docs are not read.  `kept` can end inside a UTF-8
+    gives no rows; other columns of docs are not read; ties cannot matter, as every one of
+    equal strings goes.  `kept` can end inside a UTF-8
     character, as strings are judged by bytes.
     """
     starts = repeated_windows(docs, threshold)
