@@ -205,6 +205,8 @@ def test_peaks_and_views_refuse(spark):
         align.noise_floor(centres.where("bin = 3").withColumn("noise_window_hz", F.lit(0.5)), stats, ["capture_id", "axis", "bin"]).collect()
     with pytest.raises(Exception, match="background is not finite"):
         spark.range(1).select(align.contrast(F.lit(1.0), F.lit(-2.0))).collect()
+    none = spark.range(1).select(align.contrast(F.lit(1.0), F.expr("double('nan')")), align.contrast(F.lit(1.0), F.expr("double(null)")), align.contrast(F.lit(100.0), F.lit(1.0)))
+    assert tuple(none.first()) == (None, None, 20.0)
     for make in (view.spectrum_view, view.assembled_view):
         assert make(stats, found, bands).where("is_peak").count() == 9
         with pytest.raises(Exception, match="exactly one bin"):

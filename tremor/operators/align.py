@@ -255,7 +255,8 @@ def background(stats: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def contrast(power: Column, ground: Column) -> Column:
-    """Decibels of a power above its background; null where there is none."""
+    """Decibels of a power above its background; null where there is none (null or NaN)."""
+    ground = F.when(~F.isnan(ground), ground)
     wrong = F.when(unusable(power) | (power < 0), "a power is missing, not finite or negative").when(
         ground.isNotNull() & (unusable(ground) | (ground < 0)), "a background is not finite or negative"
     )
