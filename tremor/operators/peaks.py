@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tremor.storage import written
+
 from .align import decibels, in_bands, noise_floor, refused, unusable
 from .checks import check_bands
 
@@ -158,15 +160,18 @@ def find_peaks(stats: DataFrame, aligned: DataFrame, bands: DataFrame) -> DataFr
     slices = band_slices(stats, bands)
     counted = ["sessions"] if "sessions" in stats.columns else []
     shaped = prominences(spaced(local_maxima(slices), stats, bands), slices)
-    wide = (
+    # candidates are few next to bins, and read twice each: by what qualifies them and by what they become
+    wide = written(
         shaped.join(F.broadcast(bands), "band_ix")
         .where("prominence >= prominence_db")
-        .join(stats.select("capture_id", "axis", "bin", "freq", F.col("median").alias("amplitude"), *counted), ["capture_id", "axis", "bin"])
+        .join(stats.select("capture_id", "axis", "bin", "freq", F.col("median").alias("amplitude"), *counted), ["capture_id", "axis", "bin"]),
+        "candidates",
     )
-    loud = (
+    loud = written(
         wide.join(noise_floor(wide, stats, key), key)
         .withColumn("local_snr_db", decibels(F.col("amplitude")) - decibels(F.col("floor")))
-        .where("local_snr_db >= min_snr_db")
+        .where("local_snr_db >= min_snr_db"),
+        "loud",
     )
     told = loud.join(diagnostics(session_windows(loud, aligned)), key, "left")
     wrong = F.when(F.col("window_power_stability").isNull(), "statistics and spectra must have the same bins")
