@@ -198,5 +198,18 @@ def test_stop_without_an_open_session_is_at_once(spark, tmp_path):
     stop_file = str(tmp_path / "stop")
     q = stream(spark, path, tmp_path, "out", packets=4, stop_file=stop_file, trigger={"processingTime": "0 seconds"})
     q.processAllAvailable()
-    assert stop.after_session(q, stop_file, 1) == ["a"]  # nothing came that could say that no session is open
+    began = time.monotonic()
+    assert stop.after_session(q, stop_file, 60) == [] and time.monotonic() - began < 40  # it did not wait for packets
     assert not q.isActive and [r[1:3] for r in sessions_of(spark, tmp_path, "out")] == [(1, k) for k in range(4)]
+
+
+def test_stop_without_further_packets_keeps_the_open_session(spark, tmp_path):
+    """Patience ends; the packets stay in the checkpoint, and a query without the request goes on."""
+    frame = lambda k: framing.encode([k] * 4, [k] * 4, [k] * 4, 1000, k)
+    path = capture(tmp_path / "in", "a", b"".join(map(frame, range(6))))
+    q = stream(spark, path, tmp_path, "out", packets=4, stop_file=str(tmp_path / "stop"), trigger={"processingTime": "0 seconds"})
+    q.processAllAvailable()
+    assert stop.after_session(q, str(tmp_path / "stop"), 1) == ["a"] and not q.isActive
+    capture(tmp_path / "in", "a", b"".join(map(frame, range(9))))
+    stream(spark, path, tmp_path, "out", packets=4).awaitTermination(120)
+    assert [r[1:3] for r in sessions_of(spark, tmp_path, "out")] == [(k // 4 + 1, k) for k in range(8)]

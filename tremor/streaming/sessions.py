@@ -39,8 +39,8 @@ class _Sessions(StatefulProcessor):
             held, number = held[self.size :], number + 1
         if end is not None and held and held[0][0] >= end:
             held = []
-        if end is not None and not held:
-            stop.finished(self.stop_file, key[0])
+        if self.stop_file:
+            stop.note(self.stop_file, key[0], len(held))
         self.next.update((number,))
         if held:
             self.held.put([(int(a), float(f), *(list(map(float, v)) for v in axes)) for a, f, *axes in held])

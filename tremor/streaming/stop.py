@@ -2,7 +2,8 @@
 
 A request is a small file in a folder that driver and executors share.  It holds, for each
 capture, the byte up to which packets had been read; a session that begins before it is
-finished, one that begins later is dropped.  Captures that have finished say so by files beside it.
+finished, one that begins later is dropped.  Files beside it say how many packets of a
+capture's open session are held, none if no session is open or the last one is finished.
 """
 
 from __future__ import annotations
@@ -42,12 +43,19 @@ def requested(stop_file: str | None, capture: str) -> int | None:
     return None if said is None else json.loads(said).get(capture, 0)
 
 
-def finished(stop_file: str, capture: str) -> None:
-    _write(_mark(stop_file, capture), b"finished")
+def note(stop_file: str, capture: str, held: int) -> None:
+    """Packets of the capture's open session, after a micro-batch."""
+    _write(_mark(stop_file, capture), str(held).encode())
+
+
+def is_open(stop_file: str, capture: str) -> bool:
+    return _read(_mark(stop_file, capture)) not in (None, b"0")
 
 
 def request(query: StreamingQuery, stop_file: str) -> dict[str, int]:
-    """Ask for the end; returns the byte up to which each capture had been read."""
+    """Ask for the end; returns the byte up to which each capture had been read.  The first request stands."""
+    if (said := _read(stop_file)) is not None:
+        return json.loads(said)
     ends = [source["endOffset"] for p in query.recentProgress for source in json.loads(p.json)["sources"][:1]]
     offset = next((e for e in reversed(ends) if e), {})
     offset = json.loads(offset) if isinstance(offset, str) else offset
@@ -56,19 +64,29 @@ def request(query: StreamingQuery, stop_file: str) -> dict[str, int]:
     return at
 
 
+def _batches(query: StreamingQuery) -> int:
+    last = query.lastProgress
+    return -1 if last is None else last.batchId
+
+
 def after_session(query: StreamingQuery, stop_file: str, patience: float = 60.0) -> list[str]:
-    """Ask for the end, wait until each capture has finished its open session, and stop the query,
-    which closes the reader.
+    """Ask for the end, wait until each capture has finished the session that is open, if one is,
+    and stop the query, which closes the reader.
 
     Returns the captures that had not finished when `patience` seconds without a finished one
     were over, for want of packets; their open sessions stay in the checkpoint."""
-    open_ = set(request(query, stop_file))
+    open_ = {c for c in request(query, stop_file) if is_open(stop_file, c)}
     until = time.monotonic() + patience
     while open_ and query.isActive and time.monotonic() < until:
-        done = {c for c in open_ if _read(_mark(stop_file, c)) is not None}
+        time.sleep(0.2)
+        done = {c for c in open_ if not is_open(stop_file, c)}
         if done:
             open_ -= done
             until = time.monotonic() + patience
-        time.sleep(0.2)
+    # tasks say how they stand before their batch is committed: let it end
+    batches = _batches(query)
+    until = time.monotonic() + patience
+    while query.isActive and query.status["isTriggerActive"] and _batches(query) == batches and time.monotonic() < until:
+        time.sleep(0.05)
     query.stop()
     return sorted(open_)
