@@ -213,3 +213,12 @@ def test_stop_without_further_packets_keeps_the_open_session(spark, tmp_path):
     capture(tmp_path / "in", "a", b"".join(map(frame, range(9))))
     stream(spark, path, tmp_path, "out", packets=4).awaitTermination(120)
     assert [r[1:3] for r in sessions_of(spark, tmp_path, "out")] == [(k // 4 + 1, k) for k in range(8)]
+
+
+def test_uris_name_the_same_files(tmp_path):
+    path = capture(tmp_path / "in", "a", b"x")
+    capture(tmp_path / "in", "_hidden", b"x")
+    assert wire._files(path) == [(f"{path}/a", 1)] == wire._files(f"{path}/a") and wire._files(f"file://{path}") == [(f"file://{path}/a", 1)]
+    for p, _ in [*wire._files(path), *wire._files(f"file://{path}")]:
+        store, at = wire._store(p)
+        assert store.get_file_info(at).size == 1

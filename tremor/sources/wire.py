@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,10 @@ def _files(path: str) -> list[tuple[str, int]]:
     store, root = _store(path)
     info = store.get_file_info(root)
     found = store.get_file_info(fs.FileSelector(root)) if info.type == fs.FileType.Directory else [info]
-    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
-    return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[:1] not in "._")
+    uri = urlsplit(path) if "://" in path else None
+    # paths of a store either begin with its host or bucket, or leave it out
+    ahead = "" if uri is None else f"{uri.scheme}://{uri.netloc if found and found[0].path.startswith('/') else ''}"
+    return sorted((ahead + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[:1] not in "._")
 
 
 def _ranges(path: str, start: int, end: int, size: int, whole: bool) -> list[Range]:
