@@ -18,16 +18,17 @@ PSD = "capture_id string, axis string, session_id int, bin int, freq double, psd
 
 def test_places_and_running_sums(spark):
     r = random.Random(0)
-    rows = [("hot" if r.random() < 0.8 else r.choice("abc"), r.randint(0, 10**6), k, r.randint(-9, 9)) for k in range(4000)]
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", "b", "c", None]), r.randint(0, 10**6), k, r.randint(-9, 9)) for k in range(4000)]
     o = Ordered(spark.createDataFrame(rows, "key string, at long, id long, v long").repartition(7), ["key"], ["at", "id"])
     seen, total = {}, {}
     want = []
-    for row in sorted(rows):
+    for row in sorted(rows, key=lambda x: (x[0] or "", *x[1:])):
         place = seen[row[0]] = seen.get(row[0], -1) + 1
         total[row[0]] = total.get(row[0], 0) + row[3]
         want.append((*row, place, total[row[0]]))
-    assert sorted(map(tuple, o.placed("place").collect())) == [w[:5] for w in want]
-    assert sorted(map(tuple, o.running("place", total="v").collect())) == want
+    plain = lambda df: sorted(map(tuple, df.collect()), key=lambda x: (x[0] or "", *x[1:]))
+    assert plain(o.placed("place")) == [w[:5] for w in want]
+    assert plain(o.running("place", total="v")) == want
     # the hot key is spread over ranges: no task has to sort it, and sums run over a row a range
     assert o.rows.where("key = 'hot'").select("_row_part").distinct().count() >= 4
     assert Ordered(spark.createDataFrame([], "key string, at long"), ["key"], ["at"]).placed("p").collect() == []

@@ -36,10 +36,19 @@ class Ordered:
         total = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c)
         return each.select(*self.by, _PART, _FIRST, total(_BEFORE), *(total(name) for name in sums))
 
+    def _with(self, sums: DataFrame, rows: DataFrame) -> DataFrame:
+        """rows, each with what sums tells of its range and key; null is a key like others."""
+        keys = [*self.by, _PART]
+        told = sums.select(*(F.col(c).alias(f"_of_{c}") for c in keys), *(c for c in sums.columns if c not in keys))
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        return rows.join(told, same)
+
     def placed(self, name: str) -> DataFrame:
         """The rows with their place, from 0, among those of their key."""
         place = (F.col(_BEFORE) + F.col(_ID) - F.col(_FIRST)).alias(name)
-        return self.rows.join(self.before(), [*self.by, _PART]).select(*self.columns, place)
+        return self._with(self.before(), self.rows).select(*self.columns, place)
 
     def running(self, name: str, **sums: str) -> DataFrame:
         """As `placed`, with the running sums of columns up to and with each row."""
@@ -47,7 +56,7 @@ class Ordered:
         ahead = {f"_ahead_{k}": F.col(c) for k, c in sums.items()}
         place = (F.col(_BEFORE) + F.col(_ID) - F.col(_FIRST)).alias(name)
         total = [(F.col(f"_ahead_{k}") + F.sum(c).over(inside)).alias(k) for k, c in sums.items()]
-        return self.rows.join(self.before(**ahead), [*self.by, _PART]).select(*self.columns, place, *total)
+        return self._with(self.before(**ahead), self.rows).select(*self.columns, place, *total)
 
     def middle(self, value: str) -> DataFrame:
         """The median of the ordered column for each key: the mean of the rows in the middle.
@@ -61,5 +70,5 @@ class Ordered:
         low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
         holds = sums.where((F.col(_BEFORE) <= high) & (F.col(_BEFORE) + F.col("_many") > low)).drop("_many")
         place = F.col(_BEFORE) + F.col(_ID) - F.col(_FIRST)
-        rows = self.rows.select(*self.by, _PART, _ID, value).join(holds, [*self.by, _PART])
+        rows = self._with(holds, self.rows.select(*self.by, _PART, _ID, value))
         return rows.where(place.between(low, high)).groupBy(*self.by).agg(F.avg(value).alias("median"))
