@@ -40,6 +40,14 @@ def test_sessions(spark):
     assert out[0][6] == [v - 2.0 for v in (0, 1, 1, 2, 2, 3, 3, 4)]
 
 
+def test_rates_do_not_depend_on_how_packets_are_dealt(spark):
+    rates = [64 * (1 + k / 1000) for k in range(8)]
+    turn = {"x": range(8), "y": range(7, -1, -1), "z": (3, 0, 7, 5, 1, 6, 2, 4)}
+    rows = [("c", a, 1, i, rates[i], [float(i)]) for a in "xyz" for i in turn[a]] + [("c", "w", 1, 0, 2.0, [1.0]), ("c", "w", 1, 1, None, [1.0]), ("c", "v", 1, 0, None, [1.0])]
+    s = spark.createDataFrame(rows, "capture_id string, axis string, session_id int, arrival_ix long, fs double, values array<double>")
+    seen = {(r.axis, r.fs) for parts in (1, 5, 24) for d in (s.repartition(parts), s.coalesce(1)) for r in sessions.signals(d).collect()}
+    assert len({f for a, f in seen if a in "xyz"}) == 1 and {("w", 2.0), ("v", None)} < seen
+
 def test_bin_stats_and_alignment(spark):
     rows = [("c", "x", s, i, float(i), v) for s, v in enumerate((1.0, 2.0, 3.0, 10.0)) for i in range(2)]
     r = align.bin_stats(spark.createDataFrame(rows, "capture_id string, axis string, session_id int, bin int, freq double, psd double")).first()

@@ -39,10 +39,15 @@ def demeaned(values: Column) -> Column:
 
 
 def signals(sessions: DataFrame) -> DataFrame:
-    """One row a session and axis: fs (mean over packets), samples, duration, signal (joined, demeaned)."""
+    """One row a session and axis: fs (mean over packets), samples, duration, signal (joined, demeaned).
+
+    Rates are added in sorted order, so axes of equal rates get one mean to the last bit however
+    their packets are dealt over tasks; `align` asks for equal frequencies."""
     ordered = F.array_sort(F.collect_list(F.struct("arrival_ix", "values")))
     joined = F.flatten(F.transform(ordered, lambda p: p["values"]))
-    out = sessions.groupBy(*KEY).agg(F.avg("fs").alias("fs"), joined.alias("raw"))
+    rates = F.array_sort(F.collect_list(F.col("fs").cast("double")))  # without nulls, as in a mean
+    fs = F.try_divide(F.aggregate(rates, F.lit(0.0), lambda a, x: a + x), F.size(rates))
+    out = sessions.groupBy(*KEY).agg(fs.alias("fs"), joined.alias("raw"))
     samples = F.size("raw")
     return out.select(*KEY, "fs", samples.cast("long").alias("samples"), (samples / F.col("fs")).alias("duration"), demeaned(F.col("raw")).alias("signal"))
 
