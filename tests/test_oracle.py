@@ -17,7 +17,7 @@ def test_same_rows(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["uneven_peaks"])
+@pytest.mark.parametrize("name", ["uneven_peaks", "uneven_stats"])
 def test_same_rows_from_many_tasks(spark, name):
     conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
