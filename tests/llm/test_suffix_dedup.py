@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tremor.llm.bytehash import SLICE
-from tremor.llm.suffix_dedup import _argmin_windows, remove_repeats
+from tremor.llm.suffix_dedup import _CONTEXT, _PART, _argmin_windows, _contexts, _cut, remove_repeats
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -70,3 +71,23 @@ def test_representatives_follow_the_window_only():
     value[50:60] = value[50] >> np.uint64(12) << np.uint64(12)
     value[50:60] += np.arange(10, 0, -1).astype(np.uint64)
     assert (_argmin_windows(value[:300], 101) == _argmin_windows(value, 101)[:200]).all()
+
+
+def test_long_batches_come_back_in_parts():
+    r, n, size, length = random.Random(5), 60, 100_000, 400
+    texts = [r.randbytes(size) if k % 7 else b"" for k in range(n)]
+    keys = pa.array(range(n), pa.int64())
+    places = [[] if not t or k % 3 == 0 else [(0, 9), (5_000, 5_100)] for k, t in enumerate(texts)]
+    cut = [[{"lo": a, "hi": e} for a, e in x] or None for x in places]
+    parts = list(_cut(length)([pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.binary()), pa.array(cut)], ["k1", "bytes", "spans"])]))
+    rows = [tuple(x.values()) for b in parts for x in b.to_pylist()]
+    kept = [t if not x else t[409:5_000] + t[5_500:] for t, x in zip(texts, places, strict=True)]
+    assert rows == [(k, len(t), len(t) - len(w), 2 * bool(places[k]), w) for k, (t, w) in enumerate(zip(texts, kept, strict=True))]
+    assert max(b.nbytes for b in parts) < _PART + size + 50 * n
+
+    span = lambda k, a, e: {"name": k, "w1": a, "w2": e, "copies": 2, "lo": a, "hi": e}
+    many = [[span(k, a, a + 99) for a in range(0, len(texts[k]) - 500, 100)] for k in range(n)]
+    parts = list(_contexts(length)([pa.RecordBatch.from_arrays([keys, keys, pa.array(texts, pa.binary()), pa.array(many)], ["k1", "k2", "bytes", "spans"])]))
+    rows = [tuple(x[c] for c in _CONTEXT) for b in parts for x in b.to_pylist()]
+    assert rows == [(k, x["lo"], x["hi"], 2, k, k, x["lo"], texts[k][x["lo"] : x["hi"] + length]) for k in range(n) for x in many[k]]
+    assert max(b.nbytes for b in parts) < 7 * _PART
