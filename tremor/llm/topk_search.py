@@ -242,4 +242,5 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     met = blocks.hint("merge").join(chunks, ["d", "part"]).select("queries", "query_ids", "keys", "vectors", "vec_ids")
     local = met.mapInArrow(_meet(k), "key long, query_id long, vec_id long, score long, beyond int, place binary")
     rank = F.row_number().over(W.partitionBy("query_id", "key").orderBy(F.desc("beyond"), F.desc("score"), F.desc("place"), "vec_id"))
-    return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return keep(best, "best")  # once, however often it is read, and with small batches on the way to Python
